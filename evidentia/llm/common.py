@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters of text that a Python worker holds as Python objects at a time.
 SLICE_BYTES = 1 << 20
@@ -42,3 +43,31 @@ def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) ->
         start = end
 
 
+
+
+#: Rows of a side table that may be broadcast; beyond it the join is salted.
+BROADCAST_ROWS = 100_000
+SALTS = 32
+
+
+def attach(df: DataFrame, stats: DataFrame, keys: list[str], most: int = BROADCAST_ROWS, spread: str | None = None) -> DataFrame:
+    """Left join of per-key statistics (one row per key, no null keys) to rows whose keys may be very uneven.
+
+    The statistics are counted first. Up to `most` rows they are broadcast; beyond it both sides are salted: a row takes one of
+    SALTS copies of its key's statistics, by the hash of the column `spread`, so that a hot key is dealt to SALTS tasks.
+    """
+    if stats.limit(most + 1).count() <= most:
+        return df.join(F.broadcast(stats), keys, "left")
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.col(spread or df.columns[0])), F.lit(SALTS)).cast("int"))
+    copies = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*keys, "_salt"], "left").drop("_salt")
+
+
+def sample_ids(rows: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
+    """At most `most` rows of distinct, non-null keys, those with the least hash, as a local table: bounded, and the same however rows are partitioned."""
+    got = rows.where(F.col(key).isNotNull()).dropDuplicates([key]).orderBy(F.xxhash64(key), key).limit(most)
+    return rows.sparkSession.createDataFrame(got.collect(), rows.schema)
+
+
+def logit(p: Column) -> Column:
+    return F.log(p) - F.log(1 - p)
