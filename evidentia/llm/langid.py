@@ -130,7 +130,8 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
 
     host = F.lower(F.regexp_extract(F.col("url").cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
     shaped = rows.select(*keys, F.coalesce(F.col("html"), F.col("text")).cast("string").alias("body"), F.col("html").isNotNull().alias("is_html"), F.coalesce(F.when(host != "", host), F.col("site").cast("string")).alias("host"))
-    schema = shaped.select(*keys, "host", F.lit("").alias("declared"), *(F.lit(0.0).alias(f"t_{k}") for k in range(len(names)))).schema
+    none = F.lit(None)
+    schema = shaped.select(*keys, "host", none.cast("string").alias("declared"), *(none.cast("double").alias(f"t_{k}") for k in range(len(names)))).schema
     seen = staged(shaped.mapInArrow(run, schema), "langid")
     t = [F.col(f"t_{k}") for k in range(len(names))]
     norm = _log_sum(t)
