@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import bpe, langid, packing, quality, secrets, toxicity
+from evidentia.llm import bpe, langid, packing, quality, secrets, simhash, toxicity
 from evidentia.llm.common import table
 
 JSON_VOCABULARY = "byte_bpe_50k.json"
@@ -40,6 +40,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(docs, secrets.fit(docs), digests=True)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(JSON_VOCABULARY))
 
@@ -48,5 +52,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(RANK_VOCABULARY), public_tokenizers.PATTERN, digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op4_quality, op5_secrets, op8_packing, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op4_quality, op5_secrets, op6_simhash, op8_packing, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
