@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import bpe, langid, packing, quality, secrets, simhash, toxicity
+from evidentia.llm import bpe, langid, linedup, packing, quality, secrets, simhash, toxicity
 from evidentia.llm.common import table
 
 JSON_VOCABULARY = "byte_bpe_50k.json"
@@ -30,6 +30,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.line_classes(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -52,5 +56,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(RANK_VOCABULARY), public_tokenizers.PATTERN, digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op4_quality, op5_secrets, op6_simhash, op8_packing, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_line_dedup, op4_quality, op5_secrets, op6_simhash, op8_packing, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
