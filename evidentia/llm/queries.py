@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import bpe, langid, linedup, neighbours, packing, quality, secrets, simhash, toxicity
+from evidentia.llm import bpe, chroma, langid, linedup, neighbours, packing, quality, secrets, simhash, toxicity
 from evidentia.llm.common import table
 
 JSON_VOCABULARY = "byte_bpe_50k.json"
@@ -48,6 +48,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no recordings, so each turn of `conversations` is rendered as one; the operator reads only that media column."""
+    return chroma.recording_classes(chroma.render(table(spark, sf_dir, "conversations"), ["conv_id", "turn"]), ["conv_id", "turn"])
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(JSON_VOCABULARY))
 
@@ -60,5 +65,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(RANK_VOCABULARY), public_tokenizers.PATTERN, digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_line_dedup, op4_quality, op5_secrets, op6_simhash, op8_packing, op9_neighbours, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_line_dedup, op4_quality, op5_secrets, op6_simhash, op7_chroma, op8_packing, op9_neighbours, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
