@@ -1,7 +1,7 @@
 """SimHash near-dedup with BK-trees.
 
 Fingerprints within `radius` bits are linked. With the 64 bits in `blocks` blocks, such a pair differs in at most `radius`
-blocks, so it agrees in `blocks - radius` of them; for every choice of that many blocks the fingerprints that agree there
+blocks, so it agrees in `blocks - radius` of them (blocks must exceed radius); for every choice of that many blocks the fingerprints that agree there
 form a shard. In each shard a BK-tree (children keyed by their whole Hamming distance to the parent) is searched and filled,
 following only the edges within the radius. A broadcast of all shards' trees would grow with the corpus, so trees are built in
 the tasks that search them. Only connections matter: a search leaves out subtrees that are known to be one component with the
@@ -112,7 +112,7 @@ def shard_edges(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> D
     return map_groups(in_tiles(entries, "key", "fp"), ["key", "_a", "_b"], ["fp"], search, "src long, dst long")
 
 
-def near_dedup(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
+def near_dedup(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, blocks: int = BLOCKS) -> DataFrame:
     """Fingerprint every whole text, and the components of links: doc_id, fingerprint (16 hex digits), component_id.
 
     One row per input row, repeats too. Null texts count as empty: no words, fingerprint zero, linked like any other.
@@ -127,14 +127,14 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> Dat
 
     rows = staged(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, fp long"), "simhash")
     fps = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash_distinct")
-    comps = connected_components(shard_edges(fps.select("fp"), radius))
+    comps = connected_components(shard_edges(fps.select("fp"), radius, blocks))
     linked = fps.join(comps.withColumnRenamed("node", "fp"), "fp")
     label = linked.join(linked.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
     labels = fps.join(label, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return rows.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, blocks: int = BLOCKS) -> DataFrame:
     """One document of each component, the one with the smallest doc_id (all rows that have it), all columns. Rows without doc_id stay."""
-    gone = near_dedup(docs, radius, words).where("doc_id != component_id").select("doc_id").distinct()
+    gone = near_dedup(docs, radius, words, blocks).where("doc_id != component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
