@@ -41,7 +41,7 @@ def event_observations(events: DataFrame) -> DataFrame:
         f"{_PLACE.format('user_id')} location",
         "concat('saw ', event_type) content",
         "case when event_id % 41 = 0 then 'unknown' when event_id % 43 = 0 then date_format(ts, \"yyyy-MM-dd HH:mm:'00'\") else date_format(ts, \"yyyy-MM-dd'T'HH:mm:'00Z'\") end timestamp",
-        "case when event_id % 89 = 0 then 'high' when event_id % 83 <> 0 then cast(round(value / 100, 2) as string) end confidence",
+        "case when event_id % 89 = 0 then 'high' when event_id % 83 <> 0 then cast(floor(value) / 100.0D as string) end confidence",
     )
 
 
