@@ -301,11 +301,11 @@ def entity_edge_counts(spark, sf):
 
 
 @_query(chain("conv", "clusters") + _TOUCH + """, sizing as (select case_id, cluster_id, count(*) size from clusters group by 1, 2)
-    select case_id, cluster_id, any_value(size) size, count(obs_id_1) n_edges, count_if(classification = 'rejected') n_rejected, round(coalesce(sum(weight), 0), 3) total_weight from sizing left join touched using (case_id, cluster_id) group by 1, 2""")
+    select case_id, cluster_id, any_value(size) size, count(obs_id_1) n_edges, count_if(classification = 'rejected') n_rejected, count_if(classification in ('likely', 'possible')) n_candidate from sizing left join touched using (case_id, cluster_id) group by 1, 2""")
 def cluster_edges(spark, sf):
     r = Resolution(adapted(spark, sf))
     docs = entities.cluster_documents(r.clusters, r.obs, entities.touching(r.clusters, r.edges))
-    return docs.select("case_id", "cluster_id", "size", F.size("edges").cast("long").alias("n_edges"), F.size(F.filter("edges", lambda e: e["classifications"]["rejected"] == 1)).cast("long").alias("n_rejected"), F.round(F.aggregate("edges", F.lit(0.0), lambda x, e: x + e["weight"]), 3).alias("total_weight"))
+    return docs.select("case_id", "cluster_id", "size", F.size("edges").cast("long").alias("n_edges"), F.size(F.filter("edges", lambda e: e["classifications"]["rejected"] == 1)).cast("long").alias("n_rejected"), F.size(F.filter("edges", lambda e: e["classifications"]["candidate"] == 1)).cast("long").alias("n_candidate"))
 
 
 @_query(chain("conv", "clusters") + "select case_id, cluster_id, 'entity_' || row_number() over (partition by case_id order by cluster_id) entity_id from (select distinct case_id, cluster_id from clusters)")
