@@ -14,6 +14,7 @@ from evidentia.functions.text import alias_norm
 from evidentia.operators import blocking, clusters, entities, intake, scoring
 from evidentia.operators.entities import Resolution
 from evidentia.oracle import _folded, _norm, chain
+from evidentia.synth import dims, generate
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -337,3 +338,83 @@ def er_conflicts(spark, sf):
 @_query()
 def timeline_payload(spark, sf):
     return Resolution(adapted(spark, sf)).timeline()
+
+
+# ---- generator: over cases made from a seed, so the tables play no part ------------------------------------------------------------
+
+N_CASES = 200
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    lit = lambda v: "null" if v is None else f"'{v}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v)
+    return f"(values {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) t({names})"
+
+
+_SLOTS = _values([(d, t, i, s[0], s[1], s[2], s[3], s[4], s[5], s[6]) for (d, t), slots in dims.SLOTS.items() for i, s in enumerate(slots)], "domain, template, slot_ord, slot_id, role, role_index, action, required, min_delta, max_delta")
+_TEMPLATES = _values([(d, j, sum(e == d for e, _ in dims.SLOTS), t, *dims.WINDOWS[d]) for d in dims.WINDOWS for j, t in enumerate(t for e, t in dims.SLOTS if e == d)], "domain, template_no, n_templates, template, window_min, window_max")
+
+
+def _u(purpose: str, key: str | None = None) -> str:
+    text = f"'42|' || case_no || '|{purpose}'" + (f" || '|' || {key}" if key else "")
+    return f"(('0x' || substring(md5({text}), 1, 13))::ubigint::double / {1 << 52}.0::double)"
+
+
+_CASES = f"""with recursive seeds as (select range case_no from range(1, {N_CASES + 1})), placed as (select case_no, (['ATM_Robbery', 'Office_Theft', 'Communication'])[1 + floor({_u('domain')} * 3)::int] as domain from seeds),
+    cases as (select p.case_no, p.domain, template, window_min + floor({_u('window')} * (window_max - window_min + 1))::bigint win from placed p join {_TEMPLATES} on t.domain = p.domain and template_no = floor({_u('template')} * n_templates))"""
+
+
+@_query(f"select domain, template, role, max(role_index) + 1 n from {_SLOTS} where role_index is not null group by 1, 2, 3")
+def role_requirements(spark, sf):
+    return generate.role_requirements(dims.dim_slot(spark))
+
+
+@_query(_CASES + " select case_no, domain, template, win from cases")
+def gen_cases(spark, sf):
+    return generate.cases(spark, N_CASES).select("case_no", "domain", "template", F.col("fir.time_window")[1].alias("win"))
+
+
+@_query(_CASES + f""", slots as (select case_no, win, slot_ord, min_delta + floor({_u('delta', 'slot_ord')} * (max_delta - min_delta + 1))::bigint delta, {_u('clamp', 'slot_ord')} u from cases c join {_SLOTS} on t.domain = c.domain and t.template = c.template
+        where required or {_u('skip', 'slot_ord')} >= 0.30),
+    ordered as (select *, row_number() over (partition by case_no order by slot_ord) n from slots),
+    walk as (select case_no, 0::bigint n, 10 + floor({_u('lead')} * 51)::bigint off, 0 slot_ord from cases
+        union all select o.case_no, o.n, case when w.off + delta > win then least(greatest(w.off + 1, floor(win * 0.8)::bigint), win) + floor(u * (win - least(greatest(w.off + 1, floor(win * 0.8)::bigint), win) + 1))::bigint else w.off + delta end, o.slot_ord
+        from walk w join ordered o on o.case_no = w.case_no and o.n = w.n + 1)
+    select case_no, n event_no, off time_offset from walk where n > 0""")
+def timeline_offsets(spark, sf):
+    return generate.timeline(generate.cases(spark, N_CASES)).select("case_no", "event_no", "time_offset")
+
+
+@_query("with lookup as (select * from " + _values([(d, m, s, p) for (d, m), ps in dims.PLACES.items() for s, p in zip(dims.SOURCES[m], ps, strict=True)], "domain, modality, source, location") + """), asked as (select distinct d.domain, m.modality, s.source from lookup d, lookup m, (select source from lookup union all select 'drone') s)
+    select a.domain, a.modality, a.source, coalesce(location, 'location unspecified') as location from asked a left join lookup l on l.domain = a.domain and l.modality = a.modality and l.source = a.source""")
+def location_lookup(spark, sf):
+    """Every combination of the three keys, unknown ones too; the lookup is a constant of 39 rows."""
+    look = dims.dim_location(spark)
+    pick = lambda c: F.broadcast(look.select(c).distinct())
+    asked = pick("domain").crossJoin(pick("modality")).crossJoin(F.broadcast(look.select("source").union(spark.createDataFrame([("drone",)], "source string")).distinct()))
+    return asked.join(F.broadcast(look), ["domain", "modality", "source"], "left").withColumn("location", F.coalesce("location", F.lit(dims.NO_PLACE)))
+
+
+def _clean(spark: SparkSession) -> DataFrame:
+    case = generate.cases(spark, N_CASES)
+    return generate.clean_observations(case, generate.entities(case), generate.timeline(case))
+
+
+@_query()
+def noise_sampling(spark, sf):
+    return generate.sampled(_clean(spark)).groupBy("case_no").agg(F.count("*").alias("n"), F.count_if("missing").alias("n_missing"), F.count_if("contradicted").alias("n_contradicted"))
+
+
+@_query()
+def gen_observations(spark, sf):
+    return generate.noisy(_clean(spark)).withColumn("noise_tags", F.concat_ws(",", "noise_tags"))
+
+
+@_query()
+def obs_only_projection(spark, sf):
+    return generate.observations_only(generate.case_documents(spark, N_CASES)).select("case_id", F.to_json("observations").alias("observations"))
+
+
+@_query()
+def case_validation(spark, sf):
+    """Case documents with something wrong: none, as every case is whole by construction."""
+    return generate.validated(generate.case_documents(spark, N_CASES)).select("case_id", F.size("observations").alias("n_observations"), F.concat_ws("; ", "errors").alias("errors"))
