@@ -26,10 +26,11 @@ def main(argv: list[str] | None = None) -> int:
     r = sub.add_parser("resolve", help="resolve case documents")
     r.add_argument("--input", required=True)
     r.add_argument("--output", required=True)
+    r.add_argument("--multi-line", action="store_true", help="a file holds one document over many lines")
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     if a.command == "resolve":
-        cases.write_results(Resolution(cases.read_cases(spark, a.input)).documents(), a.output)
+        cases.write_results(Resolution(cases.read_cases(spark, a.input, a.multi_line)).documents(), a.output)
         return 0
     docs = generate.case_documents(spark, a.batch, seed=a.seed, start=a.start_index, domain=a.domain, suspects=a.suspects, witnesses=a.witnesses)
     if a.validate and (bad := generate.validated(docs).where("size(errors) > 0").select("case_id", "errors").take(5)):
