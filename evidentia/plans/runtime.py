@@ -30,10 +30,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df once as Parquet under the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write df once as Parquet under the shared folder and read it back: cuts lineage and survives lost executors. It goes when the driver ends."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/evidentia/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
