@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm.common import text_slices
-from evidentia.llm.linking import Forest, in_tiles, map_groups
+from evidentia.llm.linking import Forest, in_tiles
 from evidentia.plans.components import connected_components
+from evidentia.plans.groups import map_groups
 from evidentia.plans.runtime import staged
 
 RATE, FRAME, SPAN = 4000, 128, 16

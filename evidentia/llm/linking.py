@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from itertools import chain, groupby
-from operator import itemgetter
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,30 +42,3 @@ def in_tiles(entries: DataFrame, key: str, id_: str, tile: int = TILE) -> DataFr
     rows = entries.join(n, key).withColumn("_k", F.ceil(F.col("_n") / tile).cast("int")).withColumn("_t", F.pmod(F.xxhash64(F.col(id_), F.lit(7)), F.col("_k")).cast("int"))
     rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     return rows.withColumn("_a", F.least("_t", "_o")).withColumn("_b", F.greatest("_t", "_o")).drop("_n", "_k", "_o")
-
-
-def map_groups(df: DataFrame, by: list[str], values: list[str], fn: Callable[[tuple, list[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
-    """fn(key, rows of values) for each group of `by`, dealt by hash and sorted; a group is in memory whole, so it must be bounded."""
-    out_schema = df.sparkSession.createDataFrame([], schema).schema
-    names = out_schema.names
-    k = len(by)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = chain.from_iterable(zip(*(c.to_pylist() for c in b.columns), strict=True) for b in batches)
-        made: list[tuple] = []
-        for key, group in groupby(rows, key=itemgetter(*range(k))):
-            made += fn(key, [r[k:] for r in group])
-            if len(made) > 20_000:
-                yield _batch(made, names, types)
-                made = []
-        yield _batch(made, names, types)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    types = to_arrow_schema(out_schema)
-    return df.select(*by, *values).repartition(*by).sortWithinPartitions(*by, *values[:1]).mapInArrow(run, out_schema)
-
-
-def _batch(rows: list[tuple], names: list[str], types: pa.Schema) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-    return pa.RecordBatch.from_arrays([pa.array(c, types.field(i).type) for i, c in enumerate(cols)], schema=types)
