@@ -26,6 +26,8 @@ from evidentia.plans.groups import map_groups
 from evidentia.plans.runtime import staged
 
 RADIUS, BLOCKS, WORDS, SEED = 4, 6, 4, 42
+#: Shards of more fingerprints are searched for all of them at once, in numpy; smaller ones one by one. The links are the same.
+BULK = 100
 
 
 def fingerprints(texts: list[str], words: int = WORDS, seed: int = SEED) -> np.ndarray:
@@ -94,6 +96,52 @@ class BKTree:
         return links
 
 
+def bulk_links(x: np.ndarray, radius: int, leaf: int = 64) -> list[tuple[int, int]]:
+    """Index pairs that connect what links within the radius connect: a BK-tree over all of x that is searched for all of x at once.
+
+    Each node splits its items by their distance to its first one, and takes along to a child only the queries whose own distance is
+    within the radius of the child's. Branches of up to `leaf` items are compared outright. Links found hook components together.
+    """
+    label, out = np.arange(len(x)), []
+
+    def join(a: np.ndarray, b: np.ndarray) -> None:
+        while True:
+            la, lb = label[a], label[b]
+            open_ = np.flatnonzero(la != lb)
+            if not len(open_):
+                return
+            a, b, la, lb = a[open_], b[open_], la[open_], lb[open_]
+            lo, hi = np.minimum(la, lb), np.maximum(la, lb)
+            order = np.lexsort((lo, hi))
+            first = order[np.concatenate([[True], hi[order][1:] != hi[order][:-1]])]  # each label hooks to the least it meets
+            out.extend(zip(a[first].tolist(), b[first].tolist(), strict=True))
+            to = np.arange(len(x))
+            to[hi[first]] = lo[first]
+            while (again := to[to]).tobytes() != to.tobytes():
+                to = again
+            label[:] = to[label]
+
+    every = np.arange(len(x))
+    stack = [(every, every)]
+    while stack:
+        items, queries = stack.pop()
+        if len(items) <= leaf:
+            near = np.bitwise_count(x[queries][:, None] ^ x[items][None, :]) <= radius
+            q, i = np.nonzero(near)
+            join(queries[q], items[i])
+            continue
+        dq = np.bitwise_count(x[queries] ^ x[items[0]]).astype(np.int16)
+        hit = queries[dq <= radius]
+        join(hit, np.full(len(hit), items[0]))
+        rest = items[1:]
+        di = np.bitwise_count(x[rest] ^ x[items[0]]).astype(np.int16)
+        for e in np.unique(di):
+            near = queries[np.abs(dq - e) <= radius]
+            if len(near):
+                stack.append((rest[di == e], near))
+    return out
+
+
 def shard_edges(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """(src, dst) edges that connect what links within the radius connect, over distinct fingerprints fps(fp long)."""
     width = [64 * (i + 1) // blocks - 64 * i // blocks for i in range(blocks)]
@@ -105,6 +153,10 @@ def shard_edges(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> D
     full = (1 << 64) - 1
 
     def search(_, rows: list[tuple]) -> Iterator[tuple]:
+        if len(rows) > BULK:
+            x = np.array([r[0] for r in rows], dtype=np.int64)
+            yield from ((int(x[i]), int(x[j])) for i, j in bulk_links(x.view(np.uint64), radius))
+            return
         tree = BKTree(radius)
         for (x,) in rows:
             for y in tree.add(x & full):

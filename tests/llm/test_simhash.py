@@ -89,3 +89,20 @@ def test_bk_tree_is_exact():
             if (x ^ y).bit_count() <= 4:
                 f.join(x, y)
     assert all((tree.forest.find(x) == tree.forest.find(y)) == (f.find(x) == f.find(y)) for x in xs for y in xs[:50])
+
+
+def test_bulk_search_connects_the_same():
+    rng = np.random.default_rng(3)
+    base = [int(x) for x in rng.integers(0, 2**63, 60)]
+    xs = list({b ^ sum(1 << int(i) for i in set(rng.integers(0, 64, int(rng.integers(0, 9))).tolist())) for b in base for _ in range(12)})
+    for radius in (4, 6):
+        f, g = linking.Forest(), linking.Forest()
+        for i, x in enumerate(xs):
+            f.find(x), g.find(x)
+            for y in xs[:i]:
+                if (x ^ y).bit_count() <= radius:
+                    f.join(x, y)
+        links = simhash.bulk_links(np.array(xs, dtype=np.uint64), radius)
+        for i, j in links:
+            assert (xs[i] ^ xs[j]).bit_count() <= radius and g.join(xs[i], xs[j])  # a forest
+        assert all((f.find(x) == f.find(y)) == (g.find(x) == g.find(y)) for x in xs for y in xs)
