@@ -3,11 +3,11 @@
 Audio (16-bit mono PCM) is cut in frames; each frame's spectrum is folded to twelve pitch classes. An integral image over frames and
 classes makes any rectangle's sum four look-ups; filters compare rectangles within a window of frames, and each filter's log ratio is
 quantised to two bits in Gray code, so a window becomes one packed 32-bit integer. Two recordings are aligned by the histogram of
-offsets at which their integers are equal, and linked if at the best offset enough are equal and few bits differ.
+offsets at which runs of RUN integers are equal, and linked if at the best offset enough runs are equal and few bits differ.
 
-Candidates: a link has at least `equal` of the shorter one's integers equal at one offset. Integers (repeats numbered) are ordered by a
+Candidates: a link has at least EQUAL of the shorter one's runs equal at one offset. Runs (repeats numbered) are ordered by a
 hash; a recording that lacks so many of its first ones in another's cannot be linked to it, so only a prefix of them is indexed
-(prefix filtering, which loses no link).
+(prefix filtering, which loses no link). Single integers repeat across unrelated recordings; runs of them hardly do.
 """
 
 from __future__ import annotations
@@ -29,9 +29,11 @@ from evidentia.plans.groups import map_groups
 from evidentia.plans.runtime import staged
 
 RATE, FRAME, SPAN = 4000, 128, 16
-#: A link: this share of the shorter one's integers equal at one offset, lengths in this ratio at least, and this share of bits that differ at most.
+#: Integers in a run.
+RUN = 4
+#: A link: this share of the shorter one's runs equal at one offset, lengths in this ratio at least, and this share of bits that differ at most.
 EQUAL, RATIO, ERROR = 0.5, 0.8, 0.2
-#: Recordings with fewer integers are linked to exact copies only.
+#: Recordings with fewer runs are linked to exact copies only.
 LEAST = 24
 
 
@@ -104,15 +106,26 @@ def fingerprint(audio: bytes) -> np.ndarray:
     return out
 
 
+def runs(ints: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each RUN integers in a row."""
+    n = max(0, len(ints) - RUN + 1)
+    out = np.zeros(n, dtype=np.uint64)
+    for k in range(RUN):
+        out = (out ^ ints[k : k + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float]:
-    """(offset of b's integer that meets a's first, how many are equal there, share of bits that differ there) at the offset with most equal; ties: the least error, then the least offset."""
-    order = np.argsort(b, kind="stable")
-    s = b[order]
-    lo, hi = np.searchsorted(s, a, "left"), np.searchsorted(s, a, "right")
+    """(offset of b's integer that meets a's first, how many runs are equal there, share of bits that differ there) at the offset with most equal runs; ties: the least error, then the least offset."""
+    x, y = runs(a), runs(b)
+    order = np.argsort(y, kind="stable")
+    s = y[order]
+    lo, hi = np.searchsorted(s, x, "left"), np.searchsorted(s, x, "right")
     n = hi - lo
     if not n.sum():
         return 0, 0, 1.0
-    i = np.repeat(np.arange(len(a)), n)
+    i = np.repeat(np.arange(len(x)), n)
     j = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
     offsets, counts = np.unique(j - i, return_counts=True)
     best = min((bit_error(a, b, int(o)), int(o)) for o in offsets[counts == counts.max()])
@@ -128,7 +141,7 @@ def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> float:
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    n, m = sorted((len(a), len(b)))
+    n, m = sorted((max(0, len(a) - RUN + 1), max(0, len(b) - RUN + 1)))
     if n < LEAST or n < RATIO * m:
         return False
     _, same, error = align(a, b)
@@ -136,16 +149,17 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def prefix(ints: np.ndarray) -> list[int]:
-    """Hashes of the integers, repeats numbered, that a recording is found by: those first in hash order."""
-    if len(ints) < LEAST:
+    """Hashes of the runs, repeats numbered, that a recording is found by: those first in hash order."""
+    own = runs(ints)
+    if len(own) < LEAST:
         return []
     seen: Counter = Counter()
     tokens = []
-    for x in ints.tolist():
+    for x in own.tolist():
         tokens.append(xxhash.xxh64_intdigest(b"%d:%d" % (x, seen[x]), 5))
         seen[x] += 1
-    need = ceil(EQUAL * ceil(RATIO * len(ints)))
-    return [t - (1 << 64) if t >> 63 else t for t in sorted(tokens)[: len(ints) - need + 1]]
+    need = ceil(EQUAL * ceil(RATIO * len(own)))
+    return [t - (1 << 64) if t >> 63 else t for t in sorted(tokens)[: len(own) - need + 1]]
 
 
 def render(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
