@@ -71,3 +71,19 @@ def sample_ids(rows: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
 
 def logit(p: Column) -> Column:
     return F.log(p) - F.log(1 - p)
+
+
+#: A key with more than one in HOT_SHARE of all rows is hot, so there are at most HOT_SHARE hot keys.
+HOT_SHARE = 1000
+
+
+def join_labels(rows: DataFrame, labels: DataFrame, key: str, n: str = "_n") -> DataFrame:
+    """Inner join of rows to labels (one row per key; `n`: the rows that have the key), without a hot key meeting in one task.
+
+    Labels of hot keys, at most HOT_SHARE by the definition of hot, are broadcast; the others are joined by a shuffle.
+    """
+    total = labels.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) * HOT_SHARE > F.lit(total)
+    few = F.broadcast(labels.where(hot).drop(n))
+    cold = rows.join(few.select(key), key, "left_anti").join(labels.where(~hot).drop(n), key)
+    return rows.join(few, key).unionByName(cold)

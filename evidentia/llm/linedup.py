@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import text_slices
+from evidentia.llm.common import join_labels, text_slices
 from evidentia.llm.linking import Forest, in_tiles
 from evidentia.plans.components import connected_components
 from evidentia.plans.groups import map_groups
@@ -268,14 +268,14 @@ def line_classes(docs: DataFrame, most: int = EDITS, least: int = LEAST_CHARS) -
     """
     lines = staged(line_rows(docs, least), "line_rows")
     place = F.struct("doc_id", "line_no")
-    firsts = lines.groupBy("h").agg(F.min(place).alias("first"), F.first("id").alias("id"))
+    firsts = lines.groupBy("h").agg(F.min(place).alias("first"), F.first("id").alias("id"), F.count("*").alias("_n"))
     edges, degrees = edit_links(docs, most, least)
     comps = connected_components(edges).select(F.col("node").alias("id"), "component")
     near = staged(firsts.join(comps, "id").select("h", "id", "component", "first"), "near_lines")
     classes = near.groupBy("component").agg(F.min("first").alias("class"))
     near = near.join(classes, "component").join(degrees, "id").select("h", "class", "n_links")
-    label = firsts.join(near, "h", "left").select("h", F.coalesce("class", "first").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = lines.select("doc_id", "line_no", "h").join(label, "h")
+    label = firsts.join(near, "h", "left").select("h", F.coalesce("class", "first").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "_n")
+    out = join_labels(lines.select("doc_id", "line_no", "h"), staged(label, "line_labels"), "h")
     return out.select("doc_id", "line_no", F.col("class.doc_id").alias("class_doc_id"), F.col("class.line_no").alias("class_line_no"), "n_links", (place == F.col("class")).alias("kept"))
 
 
