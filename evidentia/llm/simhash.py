@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import text_slices
+from evidentia.llm.common import join_labels, text_slices
 from evidentia.llm.linking import Forest, in_tiles
 from evidentia.plans.components import connected_components
 from evidentia.plans.groups import map_groups
@@ -179,12 +179,12 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, blocks
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(fingerprints(texts, words).view(np.int64))], names=["doc_id", "fp"])
 
     rows = staged(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, fp long"), "simhash")
-    fps = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash_distinct")
+    fps = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("_n")), "simhash_distinct")
     comps = connected_components(shard_edges(fps.select("fp"), radius, blocks))
     linked = fps.join(comps.withColumnRenamed("node", "fp"), "fp")
     label = linked.join(linked.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
-    labels = fps.join(label, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    labels = staged(fps.join(label, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "_n"), "simhash_labels")
+    return join_labels(rows, labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, blocks: int = BLOCKS) -> DataFrame:
