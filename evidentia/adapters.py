@@ -12,8 +12,12 @@ _PLACE = "element_at(array('ATM booth entrance', 'atm booth interior', 'Server r
 _ROLE = "case role when 'user' then 'suspect' when 'assistant' then 'witness' else role end"
 
 
-def conversation_observations(conversations: DataFrame) -> DataFrame:
-    """Each conversation a case, each turn an observation 40 seconds after the one before."""
+#: What the queries with SQL see of a turn: their SQL reads so many characters.
+SQL_CHARS = 120
+
+
+def conversation_observations(conversations: DataFrame, most: int | None = None) -> DataFrame:
+    """Each conversation a case, each turn an observation 40 seconds after the one before, its content the whole text or the first `most` characters."""
     entity = f"case when turn % 4 < 2 then concat({_ROLE}, ' ', cast(conv_id % 5 as string)) else concat('Speaker_', chr(65 + cast(turn % 3 as int))) end"
     return conversations.selectExpr(
         "cast(conv_id as string) case_id",
@@ -23,7 +27,7 @@ def conversation_observations(conversations: DataFrame) -> DataFrame:
         f"{_ROLE} role",
         f"{_MODALITY.format('(turn + conv_id)')} modality",
         f"{_PLACE.format('(turn + conv_id)')} location",
-        "substring(text, 1, 120) content",
+        "text content" if most is None else f"substring(text, 1, {most}) content",
         "date_format(timestamp_seconds(1705312800 + turn * 40), \"yyyy-MM-dd'T'HH:mm:ss\") timestamp",
         "cast((conv_id * 7 + turn * 13) % 100 / 100.0D as string) confidence",
     )
@@ -77,7 +81,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def adapted(spark: SparkSession, sf_dir: str, kind: str = "conv") -> DataFrame:
-    return conversation_observations(table(spark, sf_dir, "conversations")) if kind == "conv" else event_observations(table(spark, sf_dir, "events"))
+    """kind: conv, conversations as the SQL of queries reads them; turns, the same with whole texts; event."""
+    if kind == "event":
+        return event_observations(table(spark, sf_dir, "events"))
+    return conversation_observations(table(spark, sf_dir, "conversations"), SQL_CHARS if kind == "conv" else None)
 
 
 def example_constraints(spark: SparkSession, raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

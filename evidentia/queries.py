@@ -261,12 +261,12 @@ def conflict_oversized(spark, sf):
 @_query()
 def attachment(spark, sf):
     """Clusters after the ordered fold; SQL has no such fold."""
-    return Resolution(adapted(spark, sf)).members
+    return Resolution(adapted(spark, sf, "turns")).members
 
 
 @_query()
 def candidate_mentions(spark, sf):
-    r = Resolution(adapted(spark, sf))
+    r = Resolution(adapted(spark, sf, "turns"))
     return entities.candidate_mentions(r.members, r.mentions)
 
 
@@ -322,22 +322,22 @@ def er_summary(spark, sf):
 @_query()
 def er_entities(spark, sf):
     """The flagship: canonical entities of every conversation."""
-    return Resolution(adapted(spark, sf)).entities()
+    return Resolution(adapted(spark, sf, "turns")).entities()
 
 
 @_query()
 def er_documents(spark, sf):
-    return Resolution(adapted(spark, sf)).documents().drop("created_at")
+    return Resolution(adapted(spark, sf, "turns")).documents().drop("created_at")
 
 
 @_query()
 def er_conflicts(spark, sf):
-    return Resolution(adapted(spark, sf)).conflicts
+    return Resolution(adapted(spark, sf, "turns")).conflicts
 
 
 @_query()
 def timeline_payload(spark, sf):
-    return Resolution(adapted(spark, sf)).timeline()
+    return Resolution(adapted(spark, sf, "turns")).timeline()
 
 
 # ---- generator: over cases made from a seed, so the tables play no part ------------------------------------------------------------

@@ -1,15 +1,16 @@
 import json
+from unittest.mock import MagicMock
 
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from evidentia import adapters
+from evidentia import adapters, queries
 from evidentia.config import ErConfig
 from evidentia.functions import scorers
 from evidentia.functions.similarity import lcs, token_set_ratio, token_sort_ratio
 from evidentia.functions.text import alias_norm, epoch
-from evidentia.operators import blocking, clusters, intake
+from evidentia.operators import blocking, clusters, intake, scoring
 from evidentia.operators.entities import Resolution, resolve_entities
 from evidentia.schema import CONSTRAINT, HINT, RAW
 from evidentia.sources import cases as files
@@ -148,3 +149,18 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(seen) == 4
+
+
+def test_queries_without_sql_read_whole_turns(spark, tmp_path, monkeypatch):
+    start = " ".join(f"w{i}" for i in range(60))
+    turns = [(0, 0, "user", start + " entered the booth"), (0, 1, "user", start + " entered the server")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    whole = {r.obs_id: r.content for r in adapters.adapted(spark, str(tmp_path), "turns").collect()}
+    assert whole == {"O0": turns[0][3], "O1": turns[1][3]}
+    ratio = scoring.with_ratios(blocking.candidates(intake.observations(adapters.adapted(spark, str(tmp_path), "turns")), ErConfig())).select("content_ratio").collect()
+    assert [round(r[0], 9) for r in ratio] == [round(token_set_ratio(turns[0][3], turns[1][3]), 9)] != [1.0]
+    read = []
+    monkeypatch.setattr(queries, "Resolution", lambda raw: read.append(raw) or MagicMock())
+    for name in ("attachment", "er_entities", "er_documents", "er_conflicts", "timeline_payload"):
+        queries.QUERIES[name](spark, str(tmp_path))
+    assert all({r.content for r in raw.collect()} == set(whole.values()) for raw in read) and len(read) == 5
