@@ -1,6 +1,6 @@
 """Line dedup by a segment-partition edit join.
 
-A line is the text between newlines, outer blanks off. Equal lines are found by a 128-bit hash. For lines within `most` edits:
+A line is the text between newlines, outer blanks off. Equal lines of every length are found by a 128-bit hash. For lines within `most` edits:
 a line of length l is cut in most + 1 even segments, one of which any line within `most` edits holds unchanged. Each distinct
 line is indexed by (l, number, text) of its segments and probes with those of its substrings whose place and length the
 edits before and after the segment allow (for lengths l - most ... l). Only hashes of those keys are shuffled; keys that some line
@@ -23,7 +23,8 @@ from evidentia.plans.components import connected_components
 from evidentia.plans.groups import map_groups
 from evidentia.plans.runtime import staged
 
-EDITS, LEAST_CHARS = 2, 40
+#: Two edits are at most a tenth of a line of LEAST_CHARS; shorter lines are linked to exact copies only.
+EDITS, LEAST_CHARS = 2, 20
 #: Ids of lines to fetch that are broadcast as an array; beyond it, lines are joined.
 BROADCAST_IDS = 1_000_000
 TEXT, PROBE = 0, 1
@@ -258,15 +259,15 @@ def _fetch(docs: DataFrame, ids: DataFrame, least: int) -> DataFrame:
     return staged(found.groupBy("id").agg(F.min("line").alias("line")), "lines")
 
 
-def line_classes(docs: DataFrame, most: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """Per line of at least `least` characters: doc_id, line_no, class_doc_id, class_line_no, n_links, kept.
+def line_classes(docs: DataFrame, most: int = EDITS, least: int = LEAST_CHARS, exact: int | None = None) -> DataFrame:
+    """Per line of at least `exact` characters (`least`, if not given): doc_id, line_no, class_doc_id, class_line_no, n_links, kept.
 
     A class is what links of at most `most` edits connect, copies included; its first line by (doc_id, line_no) names it and is the
-    one that is kept. n_links counts the other texts within `most` edits of the line's. Rows with a null doc_id or text, shorter
-    lines and blank ones take no part; rows that repeat a doc_id are taken for the same document, so its lines are kept or go
-    together. Other columns are ignored.
+    one that is kept. Lines under `least` characters have no links, so their classes are their exact copies. n_links counts the other
+    texts within `most` edits of the line's. Rows with a null doc_id or text, shorter lines and blank ones take no part; rows that
+    repeat a doc_id are taken for the same document, so its lines are kept or go together. Other columns are ignored.
     """
-    lines = staged(line_rows(docs, least), "line_rows")
+    lines = staged(line_rows(docs, least if exact is None else max(exact, 1)), "line_rows")
     place = F.struct("doc_id", "line_no")
     firsts = lines.groupBy("h").agg(F.min(place).alias("first"), F.first("id").alias("id"), F.count("*").alias("_n"))
     edges, degrees = edit_links(docs, most, least)

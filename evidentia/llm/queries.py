@@ -31,7 +31,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linedup.line_classes(table(spark, sf_dir, "documents"))
+    """Every non-blank line: exact copies of any length, near copies from linedup.LEAST_CHARS on."""
+    return linedup.line_classes(table(spark, sf_dir, "documents"), exact=1)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

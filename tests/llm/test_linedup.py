@@ -1,6 +1,6 @@
 import numpy as np
 
-from evidentia.llm import linedup, linking
+from evidentia.llm import linedup, linking, queries
 
 
 def distance(a, b):
@@ -76,3 +76,13 @@ def test_classes_against_brute_force(spark):
             want = [x for i, x in enumerate(t.split("\n")) if (d, i) not in got or got[d, i].kept]
             assert by[d].text == "\n".join(want) and by[d].n_chars == len(by[d].text)
     assert linedup.line_classes(df.limit(0)).count() == 0 and linedup.drop_repeated_lines(df.limit(0)).count() == 0
+
+
+def test_short_lines(spark, tmp_path):
+    """Exact copies of any length; near copies from LEAST_CHARS on."""
+    rows = [(1, "All rights reserved.\nYes.\n\n  \nNo."), (2, " Yes. \nAll rights reserved!\nNo!")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no, r.n_links, r.kept) for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): (1, 0, 1, True), (1, 1): (1, 1, 0, True), (1, 4): (1, 4, 0, True), (2, 0): (1, 1, 0, False), (2, 1): (1, 0, 1, False), (2, 2): (2, 2, 0, True)}
+    out = {r.doc_id: r.text for r in linedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[2] == " Yes. \nNo!"
