@@ -191,3 +191,90 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, blocks:
     """One document of each component, the one with the smallest doc_id (all rows that have it), all columns. Rows without doc_id stay."""
     gone = near_dedup(docs, radius, words, blocks).where("doc_id != component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+#: Near copies by exact similarity: the least Jaccard similarity of shingle sets, and the MinHash bands (of so many rows) that find candidates.
+LEAST_ALIKE, BANDS, ROWS = 0.8, 16, 4
+_DRAWS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.int64).astype(np.uint64)
+
+
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """Sorted distinct XXH64 of the word shingles, as fingerprints() takes them."""
+    w = text.encode().lower().split()
+    k = min(words, len(w))
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(w[i : i + k]), SEED) for i in range(len(w) - k + 1)] if w else [], dtype=np.uint64))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """One key for each band of MinHashes; none without shingles."""
+    if not len(shingles):
+        return np.zeros(0, dtype=np.int64)
+    least = np.array([((shingles ^ x) * (y | np.uint64(1))).min() for x, y in zip(*_DRAWS, strict=True)], dtype=np.uint64).reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(least)], dtype=np.uint64).view(np.int64)
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float = LEAST_ALIKE) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is at least `least`."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (len(a) + len(b) - both)
+
+
+def alike_classes(docs: DataFrame, radius: int, words: int, blocks: int) -> DataFrame:
+    """doc_id, component_id per row: components of pairs whose shingle sets have similarity LEAST_ALIKE or more.
+
+    Candidates are what SimHash links within the radius or shared MinHash bands connect (by calculation a pair of similarity 0.8 shares
+    one of 16 bands of 4 with probability 0.9998); every link is checked on the whole sets. Ids and nulls are as in near_dedup().
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, texts in text_slices(batch, "text"):
+                sets = [shingle_set(t, words) for t in texts]
+                raw = [s.tobytes() for s in sets]
+                cols = [batch.column(0).slice(a, b - a), pa.array(fingerprints(texts, words).view(np.int64)), pa.array([xxhash.xxh3_128_digest(r) for r in raw], pa.binary()), pa.array([band_keys(s).tolist() for s in sets], pa.list_(pa.int64())), pa.array(raw, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "fp", "digest", "bands", "shingles"])
+
+    rows = staged(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, fp long, digest binary, bands array<long>, shingles binary"), "shingles")
+    once = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("_n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).withColumn("id", F.xxhash64("digest"))
+    once = staged(once, "shingle_sets")
+
+    def stars(entries: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+        heads = staged(entries.groupBy(key).agg(F.min("id").alias("head"), F.count("*").alias("_n")), f"heads_{key}")
+        return join_labels(entries, heads.where("_n > 1"), key).where("id != head").selectExpr("id src", "head dst"), heads
+
+    by_fp, heads = stars(once.select("id", "fp"), "fp")
+    by_band, _ = stars(once.select("id", F.explode("bands").alias("band")), "band")
+    near = shard_edges(heads.select("fp"), radius, blocks)
+    near = near.join(heads.selectExpr("fp src", "head a"), "src").join(heads.selectExpr("fp dst", "head b"), "dst").selectExpr("a src", "b dst")
+    comps = staged(connected_components(by_fp.unionByName(by_band).unionByName(near)).selectExpr("node id", "component"), "alike_candidates")
+    sets = rows.select(F.xxhash64("digest").alias("id"), "shingles").join(comps.select("id"), "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles"))
+    full = in_tiles(comps, "component", "id").join(once.select("id", "fp", "bands"), "id").join(sets, "id")
+
+    def check(group: tuple, members: list[tuple]) -> Iterator[tuple]:
+        _, a, b = group
+        forest = Forest()
+        tile = np.array([m[1] for m in members])
+        fp = np.array([m[2] for m in members], dtype=np.int64).view(np.uint64)
+        bands = np.array([m[3] or [0] * BANDS for m in members], dtype=np.int64)
+        held = [np.frombuffer(m[4], dtype=np.uint64) for m in members]
+        for i, (x, t, *_) in enumerate(members):
+            found = (bands[:i] == bands[i]).any(axis=1) | (np.bitwise_count(fp[:i] ^ fp[i]) <= radius)
+            for j in np.flatnonzero(found & ((tile[:i] == t) == (a == b))).tolist():
+                y = members[j][0]
+                if forest.find(x) != forest.find(y) and alike(held[i], held[j]):
+                    forest.join(x, y)
+                    yield x, y
+
+    links = map_groups(full, ["component", "_a", "_b"], ["id", "_t", "fp", "bands", "shingles"], check, "src long, dst long")
+    linked = once.select("id", "digest", "least").join(connected_components(links).selectExpr("node id", "component"), "id")
+    label = linked.join(linked.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("digest", "component_id")
+    labels = staged(once.join(label, "digest", "left").select("digest", F.coalesce("component_id", "least").alias("component_id"), "_n"), "alike_labels")
+    return join_labels(rows.select("doc_id", "digest"), labels, "digest").select("doc_id", "component_id")
+
+
+def keep_one_alike(docs: DataFrame, radius: int, words: int, blocks: int) -> DataFrame:
+    """keep_one() over alike_classes()."""
+    gone = alike_classes(docs, radius, words, blocks).where("doc_id != component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

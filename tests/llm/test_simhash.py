@@ -106,3 +106,34 @@ def test_bulk_search_connects_the_same():
         for i, j in links:
             assert (xs[i] ^ xs[j]).bit_count() <= radius and g.join(xs[i], xs[j])  # a forest
         assert all((f.find(x) == f.find(y)) == (g.find(x) == g.find(y)) for x in xs for y in xs)
+
+
+def test_keep_one_alike_against_brute_force(spark):
+    """Pairs of similarity about 0.8, which SimHash alone parts badly."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(40):
+        w = [f"w{x}" for x in rng.integers(0, 5000, 100)]
+        texts.append(w)
+        for n in (1, 2, 3, 4):
+            v = list(w)
+            for at in rng.choice(np.arange(5, 95), n, replace=False):
+                v[at] = "changed"
+            texts.append(v)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)] + [(900, None), (901, ""), (None, "a b"), (902, "a b")]
+    sets = {}
+    for d, t in rows:
+        w = (t or "").split()
+        k = min(5, len(w))
+        if d is not None:
+            sets[d] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
+    f, ids = linking.Forest(), sorted(sets)
+    for i, a in enumerate(ids):
+        f.find(a)
+        for b in ids[:i]:
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                f.join(a, b)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one_alike(df, 6, 5, 8).collect()}
+    assert kept == {f.find(d) for d in ids} | {None}
+    assert kept != {r.doc_id for r in simhash.keep_one(df, 6, 5, 8).collect()}
