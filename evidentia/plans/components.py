@@ -5,45 +5,62 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.plans.runtime import checkpoint_dir
+from evidentia.plans.runtime import staged, unstage
 
+#: Up to so many edges the least neighbours are broadcast, being at most two to an edge; beyond it, only those of hot nodes are.
+BROADCAST_EDGES = 50_000
+#: A node with more than one in HOT_SHARE of all edge ends is hot, so there are at most HOT_SHARE hot nodes.
+HOT_SHARE = 1000
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
     """Label every node that has an edge to another node with the smallest node it reaches.
 
     Returns (node, component). Self edges and rows with a null end are ignored; repeated edges do no harm.
     Alternates large-star and small-star rounds, which end in stars after O(log^2 n) rounds. Each round aggregates
-    min() per node with map-side combining, so a node of very high degree never meets in one task as a list; the join
-    back has one row per node on one side, which adaptive execution may split. Lineage is cut with checkpoint().
+    min() per node with map-side combining, so a node of very high degree never meets in one task as a list; when the minimum is joined
+    back, that of a hot node is broadcast, so its edges don't meet either. Each round's edges are written to the shared folder, and the round's before are deleted.
     """
-    checkpoint_dir(edges.sparkSession)
     u, v = F.col(src), F.col(dst)
-    e = edges.where(u.isNotNull() & v.isNotNull() & (u != v)).select(F.greatest(u, v).alias("hi"), F.least(u, v).alias("lo")).distinct().checkpoint()
-    before: tuple | None = None
+    e = staged(edges.where(u.isNotNull() & v.isNotNull() & (u != v)).select(F.greatest(u, v).alias("hi"), F.least(u, v).alias("lo")).distinct(), "edges")
+    before, now = None, _state(e)
     for _ in range(max_rounds):
-        e = _small_star(_large_star(e)).checkpoint()
-        now = e.agg(F.count("*"), F.sum(F.hash("hi", "lo").cast("long")), F.max("lo")).first()
-        if now == before:
+        if now == before or not now[0]:
             break
-        before = now
+        large = _large_star(e, now[0], broadcast_edges)
+        after = staged(_small_star(large, now[0], broadcast_edges), "edges")
+        unstage(e)
+        e, before, now = after, now, _state(after)
     else:
         raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     # in a settled forest of stars every hi has one lo, the least of its component
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(e.select("lo", "lo").distinct())
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _state(e: DataFrame) -> tuple:
+    return tuple(e.agg(F.count("*"), F.sum(F.hash("hi", "lo").cast("long")), F.max("lo")).first())
+
+
+def _with_least(rows: DataFrame, least: DataFrame, key: str, size: int, broadcast_edges: int) -> DataFrame:
+    """rows joined to least (key, m, _n: rows of the key)."""
+    if size <= broadcast_edges:
+        return rows.join(F.broadcast(least.drop("_n")), key)
+    hot = F.col("_n") * HOT_SHARE > F.lit(2 * size)
+    few = F.broadcast(least.where(hot).drop("_n"))
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(least.where(~hot).drop("_n"), key))
+
+
+def _large_star(e: DataFrame, size: int, broadcast_edges: int) -> DataFrame:
     """Every larger neighbour of a node is tied to the least of the node and its neighbours."""
     both = e.select(F.col("hi").alias("n"), F.col("lo").alias("x")).union(e.select("lo", "hi"))
-    least = both.groupBy("n").agg(F.min("x").alias("m")).select("n", F.least("n", "m").alias("m"))
-    up = both.where("x > n").join(least, "n")
-    return _edges(up, F.col("x"), F.col("m"))
+    least = both.groupBy("n").agg(F.min("x").alias("m"), F.count("*").alias("_n")).select("n", F.least("n", "m").alias("m"), "_n")
+    return _edges(_with_least(both.where("x > n"), least, "n", size, broadcast_edges), F.col("x"), F.col("m"))
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, size: int, broadcast_edges: int) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are tied to the least of them."""
-    least = e.groupBy("hi").agg(F.min("lo").alias("m"))
-    down = e.join(least, "hi")
+    least = e.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("_n"))
+    down = _with_least(e, least, "hi", size, broadcast_edges)
     return _edges(_edges(down, F.col("lo"), F.col("m")).union(least.select("hi", F.col("m").alias("lo"))), F.col("hi"), F.col("lo"))
 
 

@@ -6,12 +6,15 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parents[2]
 _shipped: set[str] = set()
+_staged: list[str] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -29,14 +32,43 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return given
 
 
+def _place(spark: SparkSession, path: str) -> tuple:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def staged(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df once as Parquet under the shared folder and read it back: cuts lineage and survives lost executors. It goes when the driver ends."""
+    """Write df once as Parquet under the shared folder and read it back: cuts lineage and survives lost executors. It goes with unstage(), or when the driver ends."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/evidentia/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    files, place = _place(spark, path)
+    files.deleteOnExit(place)
+    _staged.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that no plan reads any more."""
+    for t in tables:
+        path = getattr(t, "_staged_at", None)
+        if path in _staged:
+            files, place = _place(t.sparkSession, path)
+            files.delete(place, True)
+            _staged.remove(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables staged inside go at the end, but for those put in the list. Nothing that is still to be read may depend on the others."""
+    before, keep = set(_staged), []
+    yield keep
+    for path in [p for p in _staged if p not in before and p not in {getattr(t, "_staged_at", None) for t in keep}]:
+        files, place = _place(spark, path)
+        files.delete(place, True)
+        _staged.remove(path)
 
 
 def ship(spark: SparkSession) -> None:
