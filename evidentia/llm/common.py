@@ -43,6 +43,10 @@ def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) ->
         start = end
 
 
+def plain(rows: DataFrame, own: set[str]) -> tuple[DataFrame, list[str]]:
+    """(rows with every column but those in `own` renamed c0_, c1_ ..., the names before): an extra column may have any name, dots and those of the operator's own columns included. toDF(*names) names them back."""
+    names = rows.columns
+    return rows.toDF(*(c if c in own else f"c{i}_" for i, c in enumerate(names))), names
 
 
 #: Rows of a side table that may be broadcast; beyond it the join is salted.
@@ -50,15 +54,15 @@ BROADCAST_ROWS = 100_000
 SALTS = 32
 
 
-def attach(df: DataFrame, stats: DataFrame, keys: list[str], most: int = BROADCAST_ROWS, spread: str | None = None) -> DataFrame:
+def attach(df: DataFrame, stats: DataFrame, keys: list[str], most: int = BROADCAST_ROWS, spread: list[str] | None = None) -> DataFrame:
     """Left join of per-key statistics (one row per key, no null keys) to rows whose keys may be very uneven.
 
     The statistics are counted first. Up to `most` rows they are broadcast; beyond it both sides are salted: a row takes one of
-    SALTS copies of its key's statistics, by the hash of the column `spread`, so that a hot key is dealt to SALTS tasks.
+    SALTS copies of its key's statistics, by the hash of the columns `spread` (all, if not given), so that a hot key is dealt to SALTS tasks.
     """
     if stats.limit(most + 1).count() <= most:
         return df.join(F.broadcast(stats), keys, "left")
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.col(spread or df.columns[0])), F.lit(SALTS)).cast("int"))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*map(F.col, spread or df.columns)), F.lit(SALTS)).cast("int"))
     copies = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, [*keys, "_salt"], "left").drop("_salt")
 
