@@ -35,7 +35,20 @@ def test_offsets_and_split_characters():
     spans = codec.offsets(text)
     assert spans[0][0] == 0 and spans[-1][1] == len(text)
     assert all(a < b for a, b in spans)
-    assert codec.differing == 0
+
+
+def test_ids_are_those_of_the_rank_library():
+    """Texts of few characters, whose tokens overlap in many ways, words of all languages, and whole documents."""
+    codec = bpe.rank_codec(RANKS, P.PATTERN)
+    exact = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    rng = np.random.default_rng(7)
+    texts = ["".join(rng.choice(list(chars), int(rng.integers(1, 60)))) for chars in ("a", "ab", "aA ", "=-", "0 1", "abc", "\n\t ", "éaü", "日本語で", "👩‍é ", "anistero", "(){};_\n") for _ in range(400)]
+    import pyarrow.parquet as pq
+
+    texts += [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    for t, ids in zip(texts, codec.encode(texts), strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == exact.encode_ordinary(t), t
+        assert codec.decode(ids) == t.encode()
 
 
 def test_empty_table(spark):
