@@ -42,3 +42,24 @@ def test_hot_vector_ties_go_to_small_ids(spark):
     rows = [(i, [1.0] * 16) for i in range(1, 400)] + [(1000 + i, rng.normal(size=16).tolist()) for i in range(1, 800)] + [(0, [1.0] * 15 + [1.5])]
     got = queries.neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 0).collect()
     assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == list(range(1, 11))
+
+
+def test_ends_on_huge_components(spark):
+    """Components up to the largest double: the search ends, and distances stay finite where they are."""
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(1, 60)] + [(0, rng.normal(size=8).tolist()), (100, [1e308] + [0.0] * 7), (200, [1e150] * 8), (201, [1.1e150] * 8), (300, [-1e308] + [1e-308] * 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(got) == {0, 100, 200, 300} and all(len(v) == 10 for v in got.values())
+    assert sorted(got[0]) == [(n + 1, i, s) for n, (s, i) in enumerate(brute([x for x in rows if x[0] not in (100, 200, 300)])[0])]
+    assert sorted(got[100])[0][1:] == (201, 1e308) or np.isclose(sorted(got[100])[0][2], 1e308)
+    assert sorted(got[200])[0][1] == 201 and np.isclose(sorted(got[200])[0][2], np.sqrt(8) * 1e149)
+
+
+def test_all_in_one_place(spark):
+    """Equal vectors, some queries among them: windows reach all of them at once."""
+    rows = [(i, [2.0, 3.0]) for i in range(300)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == [(q, n + 1, i) for q in (0, 100, 200) for n, i in enumerate([x for x in range(12) if x != q][:10])]
