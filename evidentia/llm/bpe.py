@@ -122,7 +122,7 @@ def json_encoder(path: str) -> ChunkEncoder:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        return ChunkEncoder(lambda strings: [e.ids for e in t.encode_batch(strings, add_special_tokens=False)], special=tuple(x.content for x in t.get_added_tokens_decoder().values()))
+        return ChunkEncoder(lambda strings: [e.ids for e in t.encode_batch_fast(strings, add_special_tokens=False)], special=tuple(x.content for x in t.get_added_tokens_decoder().values()))
 
     return held(("json_encoder", path), make)
 
