@@ -3,11 +3,12 @@
 Audio (16-bit mono PCM) is cut in frames; each frame's spectrum is folded to twelve pitch classes. An integral image over frames and
 classes makes any rectangle's sum four look-ups; filters compare rectangles within a window of frames, and each filter's log ratio is
 quantised to two bits in Gray code, so a window becomes one packed 32-bit integer. Two recordings are aligned by the histogram of
-offsets at which runs of RUN integers are equal, and linked if at the best offset enough runs are equal and few bits differ.
+offsets at which runs of RUN integers are equal, and linked if at the best offset half of the integers are equal, a quarter of the runs too, and few bits differ.
 
-Candidates: a link has at least EQUAL of the shorter one's runs equal at one offset. Runs (repeats numbered) are ordered by a
+Candidates: a link has at least RUNS of the shorter one's runs equal at one offset. Runs (repeats numbered) are ordered by a
 hash; a recording that lacks so many of its first ones in another's cannot be linked to it, so only a prefix of them is indexed
-(prefix filtering, which loses no link). Single integers repeat across unrelated recordings; runs of them hardly do.
+(prefix filtering, which loses no link). Single integers repeat across unrelated recordings; runs of them hardly do. A changed frame
+alters up to SPAN + 1 integers and RUN - 1 runs more, so of recordings with half of their integers equal more than a quarter of the runs are.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import text_slices
+from evidentia.llm.common import join_labels, text_slices
 from evidentia.llm.linking import Forest, in_tiles
 from evidentia.plans.components import connected_components
 from evidentia.plans.groups import map_groups
@@ -31,10 +32,8 @@ from evidentia.plans.runtime import staged
 RATE, FRAME, SPAN = 4000, 128, 16
 #: Integers in a run.
 RUN = 4
-#: A link: this share of the shorter one's runs equal at one offset, lengths in this ratio at least, and this share of bits that differ at most.
-EQUAL, RATIO, ERROR = 0.5, 0.8, 0.2
-#: Recordings with fewer runs are linked to exact copies only.
-LEAST = 24
+#: A link: these shares of the shorter one's integers and runs equal at one offset, lengths in this ratio at least, and this share of bits that differ at most.
+EQUAL, RUNS, RATIO, ERROR = 0.5, 0.25, 0.8, 0.2
 
 
 def _filters() -> list[tuple[int, int, int, int]]:
@@ -107,11 +106,12 @@ def fingerprint(audio: bytes) -> np.ndarray:
 
 
 def runs(ints: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each RUN integers in a row."""
-    n = max(0, len(ints) - RUN + 1)
-    out = np.zeros(n, dtype=np.uint64)
-    for k in range(RUN):
-        out = (out ^ ints[k : k + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    """A 64-bit hash of each RUN integers in a row; of fewer than RUN integers, one of each integer and their number."""
+    k = RUN if len(ints) >= RUN else 1
+    n = max(0, len(ints) - k + 1)
+    out = np.full(n, 0 if k == RUN else len(ints), dtype=np.uint64)
+    for i in range(k):
+        out = (out ^ ints[i : i + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
     return out
 
@@ -141,24 +141,31 @@ def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> float:
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    n, m = sorted((max(0, len(a) - RUN + 1), max(0, len(b) - RUN + 1)))
-    if n < LEAST or n < RATIO * m:
+    """Whether two recordings of at least one integer each align well enough; those of fewer than RUN integers only with as many."""
+    n, m = sorted((len(a), len(b)))
+    if not n or n < RATIO * m or n < RUN and n != m:
         return False
-    _, same, error = align(a, b)
-    return same >= EQUAL * n and error <= ERROR
+    offset, same, error = align(a, b)
+    if not same or same < RUNS * _run_count(n) or error > ERROR:
+        return False
+    start, end = max(0, -offset), min(len(a), len(b) - offset)
+    return int((a[start:end] == b[start + offset : end + offset]).sum()) >= EQUAL * n
+
+
+def _run_count(n: int) -> int:
+    return n - RUN + 1 if n >= RUN else n
 
 
 def prefix(ints: np.ndarray) -> list[int]:
     """Hashes of the runs, repeats numbered, that a recording is found by: those first in hash order."""
     own = runs(ints)
-    if len(own) < LEAST:
-        return []
     seen: Counter = Counter()
     tokens = []
     for x in own.tolist():
         tokens.append(xxhash.xxh64_intdigest(b"%d:%d" % (x, seen[x]), 5))
         seen[x] += 1
-    need = ceil(EQUAL * ceil(RATIO * len(own)))
+    shortest = max(ceil(RATIO * len(ints)), min(len(ints), RUN)) if len(ints) >= RUN else len(ints)  # of those it can be linked to
+    need = max(1, ceil(RUNS * _run_count(shortest)))
     return [t - (1 << 64) if t >> 63 else t for t in sorted(tokens)[: len(own) - need + 1]]
 
 
@@ -192,7 +199,7 @@ def render(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
 
 
 def fingerprints(media: DataFrame, keys: list[str], audio: str = "audio") -> DataFrame:
-    """keys, digest (of the audio), n (integers), ints (little-endian unsigned 32-bit). Null audio counts as empty."""
+    """k0, k1 ... (the keys), digest, n (integers), ints (little-endian unsigned 32-bit). Null audio counts as empty. digest: 128 bits of the integers, or of the audio if it has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(keys)
@@ -201,36 +208,40 @@ def fingerprints(media: DataFrame, keys: list[str], audio: str = "audio") -> Dat
                 part = batch.slice(a, 64)
                 sound = [x or b"" for x in part.column(k).to_pylist()]
                 ints = [fingerprint(x).astype("<u4").tobytes() for x in sound]
-                yield pa.RecordBatch.from_arrays([*part.columns[:k], pa.array([xxhash.xxh3_128_digest(x) for x in sound], pa.binary()), pa.array([len(i) // 4 for i in ints], pa.int32()), pa.array(ints, pa.binary())], names=[*keys, "digest", "n", "ints"])
+                digest = [xxhash.xxh3_128_digest(i or x, len(i) > 0) for i, x in zip(ints, sound, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:k], pa.array(digest, pa.binary()), pa.array([len(i) // 4 for i in ints], pa.int32()), pa.array(ints, pa.binary())], names=[*names, "digest", "n", "ints"])
 
-    rows = media.select(*keys, F.col(audio).alias("audio"))
+    names = [f"k{i}" for i in range(len(keys))]
+    rows = media.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col(audio).alias("audio"))
     none = F.lit(None)
-    return rows.mapInArrow(run, rows.select(*keys, none.cast("binary").alias("digest"), none.cast("int").alias("n"), none.cast("binary").alias("ints")).schema)
+    return rows.mapInArrow(run, rows.select(*names, none.cast("binary").alias("digest"), none.cast("int").alias("n"), none.cast("binary").alias("ints")).schema)
 
 
 def recording_classes(media: DataFrame, keys: list[str], audio: str = "audio") -> DataFrame:
     """Per recording: keys, n_ints, ints_xxh64 and class_<key>...: the least keys of the recordings that links and exact copies connect.
 
-    One row per input row, repeats too. Keys are ordered as a struct, nulls first. Null audio counts as empty; all empty recordings are
-    copies of each other. Other columns are ignored. An empty table gives an empty result.
+    One row per input row, repeats too. Keys, whatever their names, are ordered as a struct, nulls first. Null audio counts as empty; all
+    empty recordings are copies of each other. A recording of less than SPAN frames has no integer and is linked to exact copies only; any
+    other, however short, to those it aligns with. Other columns are ignored. An empty table gives an empty result.
     """
     rows = staged(fingerprints(media, keys, audio), "recordings")
-    texts = staged(rows.groupBy("digest").agg(F.min(F.struct(*keys)).alias("least"), F.first("n").alias("n"), F.first("ints").alias("ints")).withColumn("id", F.xxhash64("digest")), "distinct_recordings")
+    once = rows.groupBy("digest").agg(F.min(F.struct(*(f"k{i}" for i in range(len(keys))))).alias("least"), F.first("n").alias("n"), F.first("ints").alias("ints"), F.count("*").alias("_n"))
+    once = staged(once.withColumn("id", F.xxhash64("digest")), "distinct_recordings")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                found = [(t, i) for i, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for t in prefix(np.frombuffer(x, dtype="<u4"))]
-                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.int64()), pa.array([i for _, i in found], pa.int64())], names=["token", "id"])
+                found = [prefix(np.frombuffer(x, dtype="<u4")) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([t for f in found for t in f], pa.int64()), part.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found])))], names=["token", "id"])
 
-    entries = texts.select("id", "ints").mapInArrow(tokens, "token long, id long")
-    bucket = in_tiles(entries, "token", "id").join(texts.select("id", "ints"), "id")
+    entries = staged(once.where("n > 0").select("id", "ints").mapInArrow(tokens, "token long, id long"), "tokens")
+    bucket = in_tiles(entries, "token", "id").join(once.select("id", "digest", "ints"), "id")
 
     def check(group: tuple, members: list[tuple]) -> Iterator[tuple]:
         _, a, b = group
         forest = Forest()
-        seen: list[tuple[int, int, np.ndarray]] = []
+        seen: list[tuple[bytes, int, np.ndarray]] = []
         for i, t, raw in members:
             x = np.frombuffer(raw, dtype="<u4")
             for j, u, y in seen:
@@ -239,10 +250,10 @@ def recording_classes(media: DataFrame, keys: list[str], audio: str = "audio") -
                     yield i, j
             seen.append((i, t, x))
 
-    edges = map_groups(bucket, ["token", "_a", "_b"], ["id", "_t", "ints"], check, "src long, dst long")
-    comps = connected_components(edges).withColumnRenamed("node", "id")
-    near = texts.select("digest", "id", "least").join(comps, "id")
+    edges = map_groups(bucket, ["token", "_a", "_b"], ["digest", "_t", "ints"], check, "src binary, dst binary")
+    comps = connected_components(edges).withColumnRenamed("node", "digest")
+    near = once.select("digest", "least").join(comps, "digest")
     label = near.join(near.groupBy("component").agg(F.min("least").alias("class")), "component").select("digest", "class")
-    labels = texts.select("digest", "least").join(label, "digest", "left").select("digest", F.coalesce("class", "least").alias("class"))
-    out = rows.join(labels, "digest")
-    return out.select(*keys, F.col("n").alias("n_ints"), F.xxhash64("ints").alias("ints_xxh64"), *(F.col(f"class.{k}").alias(f"class_{k}") for k in keys))
+    labels = staged(once.select("digest", "least", "_n").join(label, "digest", "left").select("digest", F.coalesce("class", "least").alias("class"), "_n"), "recording_labels")
+    out = join_labels(rows, labels, "digest")
+    return out.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keys)), F.col("n").alias("n_ints"), F.xxhash64("ints").alias("ints_xxh64"), *(F.col(f"class.k{i}").alias(f"class_{k}") for i, k in enumerate(keys)))

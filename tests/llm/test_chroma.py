@@ -45,8 +45,8 @@ def test_align_finds_the_shift():
 def test_classes_against_brute_force(spark):
     rng = np.random.default_rng(2)
     rows = []
-    for _ in range(14):
-        base = rng.integers(0, 100, int(rng.integers(5, 90)))
+    for size in [int(x) for x in rng.integers(5, 90, 12)] + [16, 17, 18, 19, 21, 24, 30, 41]:
+        base = rng.integers(0, 100, size)
         for _ in range(int(rng.integers(1, 7))):
             w = base.copy()
             if rng.random() < 0.7:
@@ -65,3 +65,34 @@ def test_classes_against_brute_force(spark):
     assert chroma.recording_classes(df.limit(0), ["conv_id", "turn"]).count() == 0
     spoken = chroma.render(spark.createDataFrame([(1, None), (2, ""), (3, "a b a"), (None, "a")], "k long, text string"), ["k"]).collect()
     assert [None if r.audio is None else len(r.audio) for r in spoken] == [None, 0, 6 * chroma.FRAME, 2 * chroma.FRAME]
+
+
+def test_short_and_changed_recordings_are_linked(spark):
+    """One changed frame in 60, at either end or within; a dozen integers that are all equal but the last; the same sound at another level."""
+    rng = np.random.default_rng(3)
+    w = rng.integers(0, 100, 60)
+    for at in (0, 20, 30, 59):
+        v = w.copy()
+        v[at] += 1
+        assert chroma.linked(chroma.fingerprint(sound(w)), chroma.fingerprint(sound(v)))
+    short = rng.integers(0, 100, 28)
+    last = short.copy()
+    last[-1] += 1
+    a, b = chroma.fingerprint(sound(short)), chroma.fingerprint(sound(last))
+    assert len(a) == 13 and chroma.linked(a, b) and set(chroma.prefix(a)) & set(chroma.prefix(b))
+    quiet = (np.frombuffer(sound(short[:18]), "<i2") // 2).astype("<i2").tobytes()
+    rows = [(1, 1, sound(short)), (1, 2, sound(last)), (2, 1, sound(short[:18])), (2, 2, quiet), (3, 1, sound(short[:9])), (3, 2, sound(last[-9:])), (4, 4, sound(short[:9]))]
+    df = spark.createDataFrame(rows, "digest long, least int, audio binary")
+    got = {(r.digest, r.least): (r.class_digest, r.class_least) for r in chroma.recording_classes(df, ["digest", "least"]).collect()}
+    assert got[1, 2] == (1, 1) and got[2, 2] == (2, 1) and got[3, 2] == (3, 2) and got[4, 4] == (3, 1)
+
+
+def test_one_recording_in_most_rows(spark):
+    """99 of 100 rows are one recording, and its neighbours share its tokens."""
+    rng = np.random.default_rng(4)
+    w = rng.integers(0, 100, 40)
+    near = w.copy()
+    near[-1] += 1
+    rows = [(i, sound(w)) for i in range(990)] + [(990 + i, sound(near)) for i in range(5)] + [(995 + i, sound(rng.integers(0, 100, 40))) for i in range(5)]
+    got = {r.k: r.class_k for r in chroma.recording_classes(spark.createDataFrame(rows, "k int, audio binary"), ["k"]).collect()}
+    assert got == {i: 0 if i < 995 else i for i in range(1000)}
