@@ -11,6 +11,7 @@ host's sums. Evidence that is missing counts as none.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -18,27 +19,77 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import attach, sample_ids, text_slices
+from evidentia.llm.common import attach, plain, text_slices
 from evidentia.plans.runtime import staged
 
 BUCKETS = 1 << 16
 TEXT_WEIGHT = 60
 #: Strengths of the priors toward the level above: host to domain, domain to the whole, suffix and declared language to the whole.
 HOST_PULL, DOMAIN_PULL, TABLE_PULL = 8.0, 8.0, 4.0
-_DROP = re.compile(r"<(script|style|nav|footer|noscript)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
-_MAIN = re.compile(r"<(article|main)\b[^>]*>(.*?)</\1\s*>", re.S | re.I)
+#: Bytes of a text whose trigrams are looked up at a time. Bounds memory only.
+LONG = 1 << 18
+_DROPPED = re.compile(r"<(script|style|nav|footer|noscript)\b|<!--", re.I)
+_MAIN = re.compile(r"<(article|main)\b", re.I)
+_CLOSED = re.compile(r"</(script|style|nav|footer|noscript|article|main)\s*>", re.I)
 _TAG = re.compile(r"<[^>]*>")
-_DECLARED = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]+)""", re.I)
+_HTML = re.compile(r"<html\b", re.I)
+_LANG = re.compile(r"""\blang\s*=\s*["']?([A-Za-z]+)""", re.I)
+
+
+def _closers(html: str) -> dict[str, list[tuple[int, int]]]:
+    out: dict[str, list[tuple[int, int]]] = {}
+    for m in _CLOSED.finditer(html):
+        out.setdefault(m[1].lower(), []).append(m.span())
+    return out
+
+
+def _first(spans: list[tuple[int, int]], at: int) -> tuple[int, int] | None:
+    i = bisect_left(spans, (at, 0))
+    return spans[i] if i < len(spans) else None
 
 
 def visible_text(html: str) -> str:
-    """The text of the article or main element, or else of the whole page, without scripts, styles, navigation and footers."""
-    html = _DROP.sub(" ", html)
-    main = " ".join(m[1] for m in _MAIN.findall(html))
-    return " ".join(unescape(_TAG.sub(" ", main or html)).split())
+    """The text of the article or main element, or else of the whole page, without scripts, styles, navigation and footers.
+
+    An element ends at its name's first closing tag; one that is not closed is no element, only a tag. Every step is linear in the page.
+    """
+    closed, out, at, comments = _closers(html), [], 0, True
+    for m in _DROPPED.finditer(html):
+        if m.start() < at:
+            continue
+        if m[1]:
+            end = (_first(closed.get(m[1].lower(), []), m.end()) or (0, 0))[1]
+        else:
+            end = html.find("-->", m.end()) + 3 if comments else 2
+            comments = end > 2
+        if end > m.end():
+            out += [html[at : m.start()], " "]
+            at = end
+    html = "".join([*out, html[at:]])
+    closed, main, at = _closers(html), [], 0
+    for m in _MAIN.finditer(html):
+        if m.start() >= at:
+            start = html.find(">", m.end()) + 1
+            if not start:
+                break
+            if end := _first(closed.get(m[1].lower(), []), start):
+                main.append(html[start : end[0]])
+                at = end[1]
+    html = " ".join(main) or html
+    tags = html.rfind(">") + 1  # before it, each < finds an end
+    return " ".join(unescape(_TAG.sub(" ", html[:tags]) + html[tags:]).split())
+
+
+def declared_language(html: str) -> str | None:
+    """The lang attribute of the first html tag, in lower case."""
+    if not (m := _HTML.search(html)):
+        return None
+    end = html.find(">", m.end())
+    found = _LANG.search(html, m.end(), end if end >= 0 else len(html))
+    return found[1].lower() if found else None
 
 
 def _codes(raw: np.ndarray) -> np.ndarray:
@@ -59,44 +110,56 @@ class Model:
     def log_likelihood(self, texts: list[str]) -> np.ndarray:
         """Texts x languages, each sum scaled to at most TEXT_WEIGHT trigrams; zeros for texts of fewer than three bytes."""
         raws = [b" " + t.encode() + b" " for t in texts]
-        raw = _FOLD[np.frombuffer(b"".join(raws), dtype=np.uint8)]
         sizes = np.array([len(r) for r in raws])
-        ends = np.cumsum(sizes)
-        each = np.concatenate([self.table[_codes(raw)], np.zeros((2, len(self.languages)), np.float32)])
-        for k in (1, 2):  # trigrams that run over an end
-            each[ends - k] = 0
-        total = np.add.reduceat(each, ends - sizes, axis=0, dtype=np.float64)
+        total = np.zeros((len(texts), len(self.languages)))
+        long = sizes > LONG
+        for i in np.flatnonzero(long).tolist():
+            for at in range(0, len(raws[i]) - 2, LONG):
+                total[i] += self.table[_codes(_FOLD[np.frombuffer(raws[i][at : at + LONG + 2], dtype=np.uint8)])].sum(axis=0, dtype=np.float64)
+        if (short := np.flatnonzero(~long)).size:
+            raw = _FOLD[np.frombuffer(b"".join([raws[i] for i in short.tolist()]), dtype=np.uint8)]
+            ends = np.cumsum(sizes[short])
+            each = np.concatenate([self.table[_codes(raw)], np.zeros((2, len(self.languages)), np.float32)])
+            for k in (1, 2):  # trigrams that run over an end
+                each[ends - k] = 0
+            total[short] = np.add.reduceat(each, ends - sizes[short], axis=0, dtype=np.float64)
         n = np.maximum(1, sizes - 2)
         total[sizes < 5] = 0
         return total * (np.minimum(n, TEXT_WEIGHT) / n)[:, None]
 
 
-def fit(docs: DataFrame, most: int = 4000, languages: int = 64) -> Model:
-    """Count trigrams by language over at most `most` rows that have a lang (those with the least hash of doc_id); at most `languages` of them, the most frequent."""
-    usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.trim(F.col("lang").cast("string"))).alias("lang"), F.col("text").cast("string").alias("text")).where("lang != '' and text is not null")
-    chosen = sample_ids(usable.select("doc_id"), most)
+def fit(docs: DataFrame, per_language: int = 1000) -> Model:
+    """Count trigrams of every language that a row names, each over at most `per_language` rows (those with the least hash of doc_id).
+
+    The table holds BUCKETS numbers of four bytes for each language. Rows without doc_id, lang or text are not learnt from.
+    """
+    usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.trim(F.col("lang").cast("string"))).alias("lang"), F.col("text").cast("string").alias("text")).where("doc_id is not null and lang != '' and text is not null")
+    # only the first rows of each language leave a task, so none of them has to be sorted whole
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = usable.select("doc_id", "lang").withColumn("_n", first).where(F.col("_n") <= per_language).select("doc_id", "lang").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for a, b, texts in text_slices(batch, "text"):
                 for lang, t in zip(batch.column(0).slice(a, b - a).to_pylist(), texts, strict=True):
-                    raw = _FOLD[np.frombuffer(b" " + t.encode() + b" ", dtype=np.uint8)]
+                    raw = b" " + t.encode() + b" "
                     if len(raw) > 4:
                         sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                        sums[lang] += np.bincount(_codes(raw), minlength=BUCKETS)
+                        for at in range(0, len(raw) - 2, LONG):
+                            sums[lang] += np.bincount(_codes(_FOLD[np.frombuffer(raw[at : at + LONG + 2], dtype=np.uint8)]), minlength=BUCKETS)
         for lang, s in sums.items():
             at = np.flatnonzero(s)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(s[at])], names=["lang", "bucket", "n"])
 
-    counted = usable.join(F.broadcast(chosen), "doc_id").select("lang", "text").mapInArrow(run, "lang string, bucket int, n long")
-    # bounded by the sample and by buckets x languages
+    counted = usable.join(staged(chosen, "langid_sample"), ["doc_id", "lang"]).select("lang", "text").mapInArrow(run, "lang string, bucket int, n long")
+    # bounded by languages x buckets
     got = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    lang, at, n = np.array(got["lang"].to_pylist(), dtype=object), got["bucket"].to_numpy(), got["n"].to_numpy()
-    names = sorted(sorted(set(lang.tolist()), key=lambda x: (-int(n[lang == x].sum()), x))[:languages])
+    codes = got["lang"].combine_chunks().dictionary_encode()
+    found, lang, at, n = codes.dictionary.to_pylist(), codes.indices.to_numpy(), got["bucket"].to_numpy(), got["n"].to_numpy()
+    names = sorted(found)
     count = np.full((BUCKETS, len(names)), 0.1)
-    for k, x in enumerate(names):
-        count[at[lang == x], k] += n[lang == x]
+    count[at, np.array([names.index(x) for x in found], dtype=np.int64)[lang]] += n
     return Model(names, np.log(count / count.sum(axis=0)).astype(np.float32))
 
 
@@ -108,14 +171,21 @@ def _log_sum(cols: list[Column]) -> Column:
 def identify(rows: DataFrame, model: Model) -> DataFrame:
     """Fuse the evidence on rows (key columns..., html, text, url, site); html counts before text, url's host before site.
 
-    Returns the key columns (all others), declared, suffix, host, lang, confidence and one probability p_<language> each. Rows
-    with neither text nor markup have no text evidence; a null or odd url has no host, domain or suffix. Ties go to the language
+    Returns the key columns (all others), declared, suffix, host, lang, confidence and one probability p_<language> each. A key column
+    with one of these names comes back as input_<name>. Rows with neither text nor markup have no text evidence; a null or odd url has no host, domain or suffix. Ties go to the language
     that comes first by name. One row per input row, repeats too. With no languages learnt, lang is null.
     """
+    rows, before = plain(rows, {"html", "text", "url", "site"})
     keys = [c for c in rows.columns if c not in ("html", "text", "url", "site")]
     names = model.languages
+    shares = [f"p_{re.sub(r'[^a-z0-9]', '_', n)}" for n in names]
+    for i, n in enumerate(shares):  # names that differ in other characters only
+        shares[i] = n if n not in shares[:i] else f"{n}_{i}"
+    own = {"declared", "suffix", "host", "lang", "confidence", *shares}
+    named = [c if c.lower() not in own else f"input_{c}" for c in before if c not in ("html", "text", "url", "site")]
     if not names:
-        return rows.select(*keys, *(F.lit(None).cast("string").alias(c) for c in ("declared", "suffix", "host", "lang")), F.lit(None).cast("double").alias("confidence"))
+        return rows.select(*keys, *(F.lit(None).cast("string").alias(c) for c in ("declared", "suffix", "host", "lang")), F.lit(None).cast("double").alias("confidence")).toDF(*named, "declared", "suffix", "host", "lang", "confidence")
+    spread = [*(f.name for f in rows.schema if f.name in keys and not any(t in f.dataType.simpleString() for t in ("map<", "variant"))), "t_0"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +193,7 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
             for a, b, bodies in text_slices(batch, "body"):
                 part = batch.slice(a, b - a)
                 markup = part.column(where["is_html"]).to_pylist()
-                declared = [(m[1].lower() if (m := _DECLARED.search(t)) else None) if h else None for h, t in zip(markup, bodies, strict=True)]
+                declared = [declared_language(t) if h else None for h, t in zip(markup, bodies, strict=True)]
                 ll = model.log_likelihood([visible_text(t) if h else t for h, t in zip(markup, bodies, strict=True)])
                 keep = [part.column(where[k]) for k in [*keys, "host"]]
                 yield pa.RecordBatch.from_arrays([*keep, pa.array(declared, pa.string()), *(pa.array(ll[:, k]) for k in range(len(names)))], names=[*keys, "host", "declared", *(f"t_{k}" for k in range(len(names)))])
@@ -149,13 +219,13 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
     d_total = reduce(lambda a, b: a + b, [F.col(f"d_{k}") for k in range(len(names))])
     domains = domains.select("domain", *(((F.col(f"d_{k}") + DOMAIN_PULL * float(whole[k])) / (d_total + DOMAIN_PULL)).alias(f"d_{k}") for k in range(len(names))))
     hosts = sums("host", "h").join(domains, "domain").drop("domain")
-    out = attach(seen, hosts, ["host"], spread=keys[0])
+    out = attach(seen, hosts, ["host"], spread=spread)
     for key, prefix in (("declared", "m"), ("suffix", "x")):
         total = reduce(lambda a, b: a + b, [F.col(f"{prefix}_{k}") for k in range(len(names))])
         # P(value | language), smoothed toward the value's own share
         table = sums(key, prefix)
         table = table.select(key, *(F.log((F.col(f"{prefix}_{k}") + TABLE_PULL * total / float(size)) / (float(whole[k] * size) + TABLE_PULL)).alias(f"{prefix}_{k}") for k in range(len(names))))
-        out = attach(out, table, [key], spread=keys[0])
+        out = attach(out, table, [key], spread=spread)
     h_total = reduce(lambda a, b: a + b, [F.col(f"h_{k}") for k in range(len(names))])
     post = []
     for k in range(len(names)):
@@ -163,7 +233,7 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
         post.append(F.log(F.coalesce(prior, F.lit(float(whole[k])))) + F.col(f"t_{k}") + F.coalesce(F.col(f"m_{k}"), F.lit(0.0)) + F.coalesce(F.col(f"x_{k}"), F.lit(0.0)))
     out = out.select(*keys, "declared", "suffix", "host", *(p.alias(f"q_{k}") for k, p in enumerate(post)))
     z = _log_sum([F.col(f"q_{k}") for k in range(len(names))])
-    probs = [F.exp(F.col(f"q_{k}") - z).alias(f"p_{re.sub(r'[^a-z0-9]', '_', n)}") for k, n in enumerate(names)]
+    probs = [F.exp(F.col(f"q_{k}") - z).alias(n) for k, n in enumerate(shares)]
     best = F.greatest(*(F.col(f"q_{k}") for k in range(len(names)))) if len(names) > 1 else F.col("q_0")
     lang = F.coalesce(*(F.when(F.col(f"q_{k}") == best, F.lit(n)) for k, n in enumerate(names)))
-    return out.select(*keys, "declared", "suffix", "host", lang.alias("lang"), F.exp(best - z).alias("confidence"), *probs)
+    return out.select(*keys, "declared", "suffix", "host", lang.alias("lang"), F.exp(best - z).alias("confidence"), *probs).toDF(*named, "declared", "suffix", "host", "lang", "confidence", *shares)

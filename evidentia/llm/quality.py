@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import attach, logit, sample_ids, text_slices
+from evidentia.llm.common import attach, logit, plain, sample_ids, text_slices
 from evidentia.plans.runtime import staged
 
 FEATURES = ("words", "word_length", "upper", "digits", "symbols", "shouts", "bars", "repeated_words", "same_as_before", "repeated_lines", "bare_words")
@@ -158,7 +158,7 @@ def _placed(docs: DataFrame, host: str, path: str) -> DataFrame:
 def posterior(scored: DataFrame, rates: DataFrame) -> DataFrame:
     """scored (text_ratio, _host, _path and others) with host_rate, path_rate and quality, the posterior that the document is good."""
     sites = rates.select(F.col("host").alias("_host"), F.col("path").alias("_path"), "host_rate", "path_rate")
-    joined = attach(scored, sites, ["_host", "_path"], spread="doc_id")
+    joined = attach(scored, sites, ["_host", "_path"], spread=["doc_id", "text_ratio"])
     return joined.withColumn("quality", 1 / (1 + F.exp(-(F.col("text_ratio") + logit(F.col("path_rate")))))).drop("_host", "_path")
 
 
@@ -175,8 +175,10 @@ def classify(docs: DataFrame, model: Model, host: str = "source", path: str = "l
 
 
 def keep_good(docs: DataFrame, model: Model, host: str = "source", path: str = "lang", keep_from: float = 0.5) -> DataFrame:
-    """The documents, all columns, that classify() keeps. Two passes over the texts: rates first, then the decision, so texts are never shuffled."""
-    rows = _placed(docs, host, path)
-    rates = site_rates(with_ratio(rows.select("doc_id", "text", "_host", "_path"), model).selectExpr("_host host", "_path path", "text_ratio ratio"), model.rate)
+    """The documents, all columns whatever their names, that classify() keeps. Two passes over the texts: rates first, then the decision, so texts are never shuffled."""
+    docs, names = plain(docs, {"doc_id", "text"})
+    at = dict(zip(names, docs.columns, strict=True))
+    rows = _placed(docs, at[host], at[path])
+    rates = site_rates(with_ratio(rows.select("text", "_host", "_path"), model).selectExpr("_host host", "_path path", "text_ratio ratio"), model.rate)
     kept = posterior(with_ratio(rows, model), rates)
-    return kept.where(F.col("quality") >= keep_from).select(*docs.columns)
+    return kept.where(F.col("quality") >= keep_from).select(*docs.columns).toDF(*names)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import text_slices
+from evidentia.llm.common import plain, text_slices
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -359,7 +359,8 @@ def scan_secrets(docs: DataFrame, field: Field | None, digests: bool = False) ->
 
 
 def mask_secrets(docs: DataFrame, field: Field | None) -> DataFrame:
-    """The same rows and columns, with the secrets in `text` replaced; n_chars, where there is one, counts the new text."""
+    """The same rows and columns, whatever their names, with the secrets in `text` replaced; n_chars, where there is one, counts the new text."""
+    docs, before = plain(docs, {"text", "n_chars"})
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,4 +375,5 @@ def mask_secrets(docs: DataFrame, field: Field | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     out = docs.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    return out.toDF(*before)

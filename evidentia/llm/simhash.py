@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import join_labels, text_slices
+from evidentia.llm.common import join_labels, plain, text_slices
 from evidentia.llm.linking import Forest, in_tiles
 from evidentia.plans.components import connected_components
 from evidentia.plans.groups import map_groups
@@ -30,8 +30,8 @@ RADIUS, BLOCKS, WORDS, SEED = 4, 6, 4, 42
 BULK = 100
 
 
-def fingerprints(texts: list[str], words: int = WORDS, seed: int = SEED) -> np.ndarray:
-    """64-bit SimHash of each whole text: majority bits of the XXH64 of its word shingles, repeats included; zero without words."""
+def shingle_hashes(texts: list[str], words: int = WORDS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """(XXH64 of the word shingles of all texts in turn, repeats included; how many each text has)."""
     hashes: list[int] = []
     sizes = np.zeros(len(texts), dtype=np.int64)
     xxh = xxhash.xxh64_intdigest
@@ -45,10 +45,15 @@ def fingerprints(texts: list[str], words: int = WORDS, seed: int = SEED) -> np.n
         k = min(words, len(w))
         hashes += [xxh(line[a:b], seed) for a, b in zip(starts[: len(w) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)]
         sizes[i] = len(w) - k + 1
-    out = np.zeros(len(texts), dtype=np.uint64)
+    return np.array(hashes, dtype=np.uint64), sizes
+
+
+def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Per run of `sizes` hashes, the bits set in over half of them; zero for an empty run."""
+    out = np.zeros(len(sizes), dtype=np.uint64)
     full = np.flatnonzero(sizes)
     if len(full):
-        raw = np.array(hashes, dtype=np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8)
+        raw = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
         first = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
         ones = np.empty((len(full), 64), dtype=np.int64)
         for b in range(8):  # a byte at a time keeps the unpacked bits small
@@ -57,6 +62,11 @@ def fingerprints(texts: list[str], words: int = WORDS, seed: int = SEED) -> np.n
     return out
 
 
+def fingerprints(texts: list[str], words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """64-bit SimHash of each whole text: majority bits of the XXH64 of its word shingles, repeats included; zero without words."""
+    return majority(*shingle_hashes(texts, words, seed))
+
+
 class BKTree:
     """Hamming BK-tree over ints that keeps the components of the links found so far."""
 
@@ -187,57 +197,70 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, blocks
     return join_labels(rows, labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def without(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """docs, all columns whatever their names, without those whose component (doc_id, component_id) is named by another. Rows without doc_id stay."""
+    gone = classes.where("doc_id != component_id").select("doc_id").distinct()
+    rows, names = plain(docs, {"doc_id"})
+    return rows.join(gone, "doc_id", "left_anti").select(*rows.columns).toDF(*names)
+
+
 def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, blocks: int = BLOCKS) -> DataFrame:
     """One document of each component, the one with the smallest doc_id (all rows that have it), all columns. Rows without doc_id stay."""
-    gone = near_dedup(docs, radius, words, blocks).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, near_dedup(docs, radius, words, blocks))
 
 
 #: Near copies by exact similarity: the least Jaccard similarity of shingle sets, and the MinHash bands (of so many rows) that find candidates.
 LEAST_ALIKE, BANDS, ROWS = 0.8, 16, 4
 _DRAWS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.int64).astype(np.uint64)
+#: Shingle sets that a task compares with each other; whole texts may be long.
+ALIKE_TILE = 250
 
 
-def shingle_set(text: str, words: int) -> np.ndarray:
-    """Sorted distinct XXH64 of the word shingles, as fingerprints() takes them."""
-    w = text.encode().lower().split()
-    k = min(words, len(w))
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(w[i : i + k]), SEED) for i in range(len(w) - k + 1)] if w else [], dtype=np.uint64))
+def shingle_sets(hashes: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text."""
+    return [np.unique(x) for x in np.split(hashes, np.cumsum(sizes)[:-1])] if len(sizes) else []
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """One key for each band of MinHashes; none without shingles."""
-    if not len(shingles):
-        return np.zeros(0, dtype=np.int64)
-    least = np.array([((shingles ^ x) * (y | np.uint64(1))).min() for x, y in zip(*_DRAWS, strict=True)], dtype=np.uint64).reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(least)], dtype=np.uint64).view(np.int64)
+def band_keys(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Texts x BANDS: a key for each band of MinHashes; rows of texts without shingles mean nothing."""
+    out, full = np.zeros((len(sizes), BANDS), dtype=np.int64), np.flatnonzero(sizes)
+    if len(full):
+        first = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
+        least = np.stack([np.minimum.reduceat((hashes ^ x) * (y | np.uint64(1)), first) for x, y in zip(*_DRAWS, strict=True)], axis=1)
+        least = np.ascontiguousarray(least).reshape(len(full), BANDS, ROWS)
+        out[full] = np.array([[xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(r)] for r in least], dtype=np.uint64).view(np.int64)
+    return out
 
 
 def alike(a: np.ndarray, b: np.ndarray, least: float = LEAST_ALIKE) -> bool:
-    """Whether the Jaccard similarity of two sorted sets is at least `least`."""
+    """Whether the Jaccard similarity of two sorted sets is at least `least`; an empty set is like nothing but itself."""
     if min(len(a), len(b)) < least * max(len(a), len(b)):
         return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both >= least * (len(a) + len(b) - both)
 
 
-def alike_classes(docs: DataFrame, radius: int, words: int, blocks: int) -> DataFrame:
+def alike_classes(docs: DataFrame, radius: int, words: int, blocks: int, tile: int = ALIKE_TILE) -> DataFrame:
     """doc_id, component_id per row: components of pairs whose shingle sets have similarity LEAST_ALIKE or more.
 
     Candidates are what SimHash links within the radius or shared MinHash bands connect (by calculation a pair of similarity 0.8 shares
-    one of 16 bands of 4 with probability 0.9998); every link is checked on the whole sets. Ids and nulls are as in near_dedup().
+    one of 16 bands of 4 with probability 0.9998); every link is checked on the whole sets, which are made again for candidates only.
+    Ids and nulls are as in near_dedup(). Sets are told apart by 128 bits; where 64 bits name candidates, a clash only adds one.
     """
+    texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "xxhash64(cast(text as string)) source")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, texts in text_slices(batch, "text"):
-                sets = [shingle_set(t, words) for t in texts]
-                raw = [s.tobytes() for s in sets]
-                cols = [batch.column(0).slice(a, b - a), pa.array(fingerprints(texts, words).view(np.int64)), pa.array([xxhash.xxh3_128_digest(r) for r in raw], pa.binary()), pa.array([band_keys(s).tolist() for s in sets], pa.list_(pa.int64())), pa.array(raw, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "fp", "digest", "bands", "shingles"])
-
-    rows = staged(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, fp long, digest binary, bands array<long>, shingles binary"), "shingles")
-    once = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("_n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).withColumn("id", F.xxhash64("digest"))
+            for a, b, t in text_slices(batch, "text"):
+                hashes, sizes = shingle_hashes(t, words)
+                part, bands = batch.slice(a, b - a), band_keys(hashes, sizes)
+                digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in shingle_sets(hashes, sizes)]
+                cols = [part.column(0), part.column(2), pa.array(majority(hashes, sizes).view(np.int64)), pa.array(digests, pa.binary()), pa.array([r if n else [] for r, n in zip(bands.tolist(), sizes.tolist(), strict=True)], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "source", "fp", "digest", "bands"])
+
+    rows = staged(texts.mapInArrow(signed, "doc_id long, source long, fp long, digest binary, bands array<long>"), "shingles")
+    firsts = F.min_by(F.struct("source", "fp", "bands"), F.struct("source", "fp"))
+    once = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("_n"), firsts.alias("f")).select("digest", "least", "_n", "f.*", F.xxhash64("digest").alias("id"))
     once = staged(once, "shingle_sets")
 
     def stars(entries: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -249,26 +272,35 @@ def alike_classes(docs: DataFrame, radius: int, words: int, blocks: int) -> Data
     near = shard_edges(heads.select("fp"), radius, blocks)
     near = near.join(heads.selectExpr("fp src", "head a"), "src").join(heads.selectExpr("fp dst", "head b"), "dst").selectExpr("a src", "b dst")
     comps = staged(connected_components(by_fp.unionByName(by_band).unionByName(near)).selectExpr("node id", "component"), "alike_candidates")
-    sets = rows.select(F.xxhash64("digest").alias("id"), "shingles").join(comps.select("id"), "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles"))
-    full = in_tiles(comps, "component", "id").join(once.select("id", "fp", "bands"), "id").join(sets, "id")
+    wanted = staged(once.join(comps, "id").select("source", "digest").distinct(), "alike_texts")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, t in text_slices(batch, "text"):
+                raw = [s.tobytes() for s in shingle_sets(*shingle_hashes(t, words))]
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(r) for r in raw], pa.binary()), pa.array(raw, pa.binary())], names=["digest", "shingles"])
+
+    again = texts.select("text", "source").join(wanted.select("source").distinct(), "source", "left_semi").dropDuplicates(["source", "text"]).select("text")
+    sets = again.mapInArrow(whole, "digest binary, shingles binary").join(wanted.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("shingles").alias("shingles"))
+    full = in_tiles(comps, "component", "id", tile).join(once.select("id", "digest", "fp", "bands"), "id").join(sets, "digest")
 
     def check(group: tuple, members: list[tuple]) -> Iterator[tuple]:
         _, a, b = group
         forest = Forest()
-        tile = np.array([m[1] for m in members])
+        tiles = np.array([m[1] for m in members])
         fp = np.array([m[2] for m in members], dtype=np.int64).view(np.uint64)
         bands = np.array([m[3] or [0] * BANDS for m in members], dtype=np.int64)
         held = [np.frombuffer(m[4], dtype=np.uint64) for m in members]
         for i, (x, t, *_) in enumerate(members):
             found = (bands[:i] == bands[i]).any(axis=1) | (np.bitwise_count(fp[:i] ^ fp[i]) <= radius)
-            for j in np.flatnonzero(found & ((tile[:i] == t) == (a == b))).tolist():
+            for j in np.flatnonzero(found & ((tiles[:i] == t) == (a == b))).tolist():
                 y = members[j][0]
                 if forest.find(x) != forest.find(y) and alike(held[i], held[j]):
                     forest.join(x, y)
                     yield x, y
 
-    links = map_groups(full, ["component", "_a", "_b"], ["id", "_t", "fp", "bands", "shingles"], check, "src long, dst long")
-    linked = once.select("id", "digest", "least").join(connected_components(links).selectExpr("node id", "component"), "id")
+    links = map_groups(full, ["component", "_a", "_b"], ["digest", "_t", "fp", "bands", "shingles"], check, "src binary, dst binary")
+    linked = once.select("digest", "least").join(connected_components(links).selectExpr("node digest", "component"), "digest")
     label = linked.join(linked.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("digest", "component_id")
     labels = staged(once.join(label, "digest", "left").select("digest", F.coalesce("component_id", "least").alias("component_id"), "_n"), "alike_labels")
     return join_labels(rows.select("doc_id", "digest"), labels, "digest").select("doc_id", "component_id")
@@ -276,5 +308,4 @@ def alike_classes(docs: DataFrame, radius: int, words: int, blocks: int) -> Data
 
 def keep_one_alike(docs: DataFrame, radius: int, words: int, blocks: int) -> DataFrame:
     """keep_one() over alike_classes()."""
-    gone = alike_classes(docs, radius, words, blocks).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, alike_classes(docs, radius, words, blocks))

@@ -9,6 +9,7 @@ Thresholds by language come from the same part: they decide `flagged`, never the
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,6 +27,22 @@ TABLE_ROWS = 150_000
 _OUTER = " .,;:!?*$%&#|\"'()[]{}<>-_=+/\\~`^@"
 
 
+#: Characters of a text that are taken at a time. Bounds memory only.
+LONG = 1 << 20
+_BLANK = re.compile(r"\s")
+
+
+def pieces(text: str, most: int | None = None) -> Iterator[tuple[list[str], bool]]:
+    """(words, whether they are the last) of pieces of about `most` characters; each starts with the last words of the one before, as many as a window reaches back."""
+    at, carry, most = 0, [], most or LONG
+    while at < len(text):
+        cut = _BLANK.search(text, at + most)
+        end = cut.start() if cut else len(text)
+        words = carry + text[at:end].split()
+        yield words, end == len(text)
+        at, carry = end, words[1 - max(WIDTHS) :]
+
+
 @dataclass
 class Model:
     table: np.ndarray  # buckets x dim
@@ -78,12 +95,19 @@ class Scorer:
         return got
 
     def pooled(self, texts: list[str]) -> np.ndarray:
-        words, sizes = [], []
-        for t in texts:
-            w = t.split()
-            words += w
-            sizes.append(len(w))
-        n = np.asarray(sizes)
+        """Texts x filters: each filter's maximum over the whole text, rectified. Texts beyond LONG characters are taken piece by piece."""
+        out = np.empty((len(texts), len(self.m.bias)), dtype=np.float32)
+        short = [i for i, t in enumerate(texts) if len(t) <= LONG]
+        if short:
+            out[short] = self._peaks([texts[i].split() for i in short])
+        for i in (i for i, t in enumerate(texts) if len(t) > LONG):
+            out[i] = np.maximum.reduce([self._peaks([w], last)[0] for w, last in pieces(texts[i])])
+        return np.maximum(out + self.m.bias, 0)
+
+    def _peaks(self, texts: list[list[str]], last: bool = True) -> np.ndarray:
+        """Each filter's maximum over texts of words; if they are not the last pieces of theirs, only where a window ends within."""
+        words = [x for w in texts for x in w]
+        n = np.array([len(w) for w in texts])
         starts = np.concatenate([[0], np.cumsum(n + 2)])[:-1]  # two empty places after each text
         ids = np.zeros(int(n.sum()) + 2 * len(n), dtype=np.int64)
         place = np.arange(n.sum()) + np.repeat(2 * np.arange(len(n)), n)
@@ -98,9 +122,12 @@ class Scorer:
             for k in range(1, width):
                 z[: len(z) - k] += h[k:, at + k * f : at + (k + 1) * f]
             z[gap] = -np.inf
+            if not last:
+                for s, e in zip(starts, starts + n, strict=True):
+                    z[max(s, e - width + 1) : e] = -np.inf
             outs.append(np.maximum.reduceat(z, starts, axis=0))
             at += width * f
-        return np.maximum(np.concatenate(outs, axis=1) + self.m.bias, 0)
+        return np.concatenate(outs, axis=1)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         logit = self.pooled(texts).astype(np.float64) @ self.m.out + self.m.out_bias

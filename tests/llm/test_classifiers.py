@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from evidentia.llm import langid, quality, queries, secrets, toxicity
+from evidentia.llm import common, langid, linking, quality, queries, secrets, toxicity
 
 SF = "/root/testdata/sf0.01"
 WORDS = "the of and to in that with for was on are by this from or an".split()
@@ -133,3 +133,161 @@ def test_language_id_odd_rows(spark):
     assert langid.identify(df.limit(0), m).count() == 0
     assert [r.lang for r in langid.identify(df, langid.fit(train.limit(0))).collect()] == [None] * 6
     assert langid.visible_text("<nav>x</nav><script>a<b</script>A&amp;B<!-- c --><style>d</style><p>e") == "A&B e"
+
+
+def softmax(x):
+    e = np.exp(np.array(x) - max(x))
+    return e / e.sum()
+
+
+def test_language_id_against_brute_force(spark):
+    """Every probability, by plain loops; columns that clash come back under other names; hot hosts, salted or broadcast, make no difference."""
+    rng = np.random.default_rng(6)
+    words = {"de": "der die das und nicht ist ein mit".split(), "en": WORDS, "fr": "le la les des est une dans que".split()}
+    train = [(i, " ".join(rng.choice(words[x], 12)), x) for i, x in enumerate(["de", "en", "fr"] * 20)]
+    m = langid.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    assert m.languages == ["de", "en", "fr"]
+    rows = []
+    for i in range(60):
+        x = str(rng.choice(["de", "en", "fr"]))
+        text = " ".join(rng.choice(words[x], int(rng.integers(0, 9))))
+        host = str(rng.choice(["a.b.de", "c.b.de", "x.com", "y.x.com", "localhost"]))
+        kind = i % 4
+        declared = x if rng.random() < 0.8 else "xx"
+        rows.append((i, f"<HTML lang={declared}><p>{text}</p>" if kind < 2 else None, text if kind >= 2 else None, f"http://{host}/p" if kind != 3 else None, "site" if kind == 3 and i % 8 == 3 else None))
+    rows += [rows[0], (100, None, None, None, None), (101, "", "the", "odd", "x.com")]
+    weight = dict(zip(range(len(rows)), rows, strict=True))
+
+    def likelihood(text):
+        raw = bytes(b + 32 if 65 <= b <= 90 else b for b in b" " + text.encode() + b" ")
+        if len(raw) < 5:
+            return [0.0] * 3
+        total = sum(m.table[langid._codes(np.frombuffer(raw[j : j + 3], np.uint8))[0]].astype(float) for j in range(len(raw) - 2))
+        return total * min(1, langid.TEXT_WEIGHT / (len(raw) - 2))
+
+    seen = []
+    for _, html, text, url, site in weight.values():
+        host = re.sub(r"^http://([^/]*).*", r"\1", url) if url and url.startswith("http") else site
+        body = html if html is not None else text or ""
+        t = likelihood(langid.visible_text(body) if html is not None else body)
+        dom = ".".join(host.split(".")[-2:]) if host else None
+        found = re.search("(?i)<html lang=([a-z]+)", html or "")
+        seen.append((t, softmax(t), host, dom, found and found[1].lower(), host.split(".")[-1] if host and "." in host else None))
+    whole = sum(s for _, s, *_ in seen) + 1
+    size, whole = whole.sum(), whole / whole.sum()
+    total = lambda at, v: sum((r[1] for r in seen if r[at] == v), np.zeros(3))
+    want = []
+    for t, s, host, dom, declared, suffix in seen:
+        prior = whole
+        if host:
+            d = (total(3, dom) + 8 * whole) / (total(3, dom).sum() + 8)
+            h = total(2, host)
+            prior = (np.maximum(h - s, 0) + 8 * d) / (max(h.sum() - 1, 0) + 8)
+        q = np.log(prior) + t
+        for at, v in ((4, declared), (5, suffix)):
+            if v:
+                q = q + np.log((total(at, v) + 4 * total(at, v).sum() / size) / (whole * size + 4))
+        want.append(softmax(q))
+    df = spark.createDataFrame([(*r, "l", "h", "t", {"a": 1}) for r in rows], "k long, html string, text string, url string, site string, lang string, host string, `t.0` string, p_de map<string,int>")
+    for most in (langid.attach.__defaults__[0], 0):
+        attach = lambda *a, most=most, **k: common.attach(*a, most=most, **k)
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(langid, "attach", attach)
+            out = langid.identify(df, m)
+        assert out.columns == ["k", "input_lang", "input_host", "t.0", "input_p_de", "declared", "suffix", "host", "lang", "confidence", "p_de", "p_en", "p_fr"]
+        got = sorted((r.k, r.p_de, r.p_en, r.p_fr, r.lang, r.confidence, r.host, r.declared, r.suffix) for r in out.collect())
+        for r, (k, p, x) in zip(got, sorted(((r[0], tuple(w), x) for r, w, x in zip(rows, want, seen, strict=True)), key=lambda w: w[:2]), strict=True):
+            assert r[0] == k and r[1:4] == pytest.approx(p, abs=1e-6) and r[4] == m.languages[int(np.argmax(p))] and r[5] == pytest.approx(max(p), abs=1e-6) and (r[6], r[7], r[8]) == (x[2], x[4], x[5])
+
+
+def test_language_id_of_many_languages_and_long_pages(spark):
+    """A language with one row among 3,000 of others is learnt; pages of open tags and of 50 MB take linear time."""
+    names = [f"l{i}" for i in range(90)]
+    rows = [(i, "word " * 5, "en") for i in range(3000)] + [(9000 + i, f"zq{i}x wv{i}k " * 6, n) for i, n in enumerate(names)]
+    m = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5), per_language=50)
+    assert m.languages == sorted(["en", *names])
+    best = m.log_likelihood([f"wv{i}k zq{i}x" for i in range(90)]).argmax(axis=1)
+    assert [m.languages[b] for b in best] == names
+    two = langid.Model(["a", "b"], m.table[:, :2])
+    texts = ["ab" * 700, "é x" * 900, "", "q"]
+    whole = two.log_likelihood(texts)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(langid, "LONG", 64)
+        assert np.allclose(two.log_likelihood(texts), whole)
+    assert np.isfinite(two.log_likelihood(["some words " * 4_600_000])).all()
+    for page in ("<script>" * 300_000, "<nav" * 400_000, "<main" * 400_000, "<!--" * 400_000, "<" * 1_000_000, "<html" * 400_000, "<article>x" * 200_000 + "</main>"):
+        assert isinstance(langid.visible_text(page), str) and langid.declared_language(page) is None
+    assert langid.visible_text("<script>open <main>a</main><!-- b <nav>c</nav>") == "a"
+
+
+def test_toxicity_of_long_texts():
+    """Piece by piece, a text has the score it has as a whole; 50 MB are scored."""
+    rng = np.random.default_rng(1)
+    texts = [made(rng, int(rng.integers(1, 60)), ["grumplewort"] if i % 2 else []) for i in range(200)]
+    score = toxicity.Scorer(toxicity.train(texts, [i % 2 for i in range(200)], ["en"] * 200, 0.5))
+    odd = [*texts, "", " ", "x" * 500, " \n " * 90, "one " + "y" * 90 + " two"]
+    whole = score(odd)
+    for most in (1, 7, 40):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(toxicity, "LONG", most)
+            assert np.allclose(score(odd), whole, atol=1e-6)
+    long = "the of and to in " * 3_000_000
+    assert score([long + "grumplewort"])[0] > 0.9 > score([long])[0]
+
+
+def test_quality_against_brute_force(spark):
+    """Every posterior by plain loops over a small table; a clash of column names changes nothing."""
+    rng = np.random.default_rng(8)
+    model = quality.Model(np.zeros(11), np.ones(11), rng.normal(0, 0.3, 22), 0.2, 0.6)
+    rows = [(i, " ".join(rng.choice([*WORDS, "!!", "A1", "|"], int(rng.integers(0, 30)))), None if i % 17 == 0 else f"h{rng.integers(0, 4)}", None if i % 19 == 0 else f"p{rng.integers(0, 3)}") for i in range(120)]
+    rows += [(None, None, "h1", "p0"), rows[3], rows[3], (500, "the", "alone", "p0")]
+    ratio = model.ratio(quality.text_features([r[1] or "" for r in rows]))
+    good = 1 / (1 + np.exp(-(ratio + np.log(0.6 / 0.4))))
+    site = [(r[2] or "", r[3] or "") for r in rows]
+
+    def sums(keys):
+        out = {}
+        for k, g in zip(keys, good, strict=True):
+            a, b = out.get(k, (0.0, 0))
+            out[k] = a + g, b + 1
+        return out
+
+    hosts, paths = sums([h for h, _ in site]), sums(site)
+    whole = (good.sum() + 0.6) / (len(good) + 1)
+
+    def strength(groups):
+        n = sum(b for _, b in groups.values())
+        between = sum(b * (a / b - whole) ** 2 for a, b in groups.values()) / n - whole * (1 - whole) * (len(groups) - 1) / n
+        return min(max(whole * (1 - whole) / between - 1, 2), 1000) if between > 1e-9 else 1000.0
+
+    a, b = strength(hosts), strength(paths)
+    want = []
+    for r, (h, p), x in zip(rows, site, ratio, strict=True):
+        top = (hosts[h][0] + a * whole) / (hosts[h][1] + a)
+        rate = (paths[h, p][0] + b * top) / (paths[h, p][1] + b)
+        q = 1 / (1 + np.exp(-(x + np.log(rate / (1 - rate)))))
+        want.append((r[0] if r[0] is not None else -1, x, top, rate, q, int(q >= 0.5)))
+    names = ["_host", "_path", "quality", "host_rate", "path_rate", "text_ratio", "good.x"]
+    df = spark.createDataFrame([(*r, *([-1.0] * len(names))) for r in rows], "doc_id long, text string, source string, lang string, " + ", ".join(f"`{n}` double" for n in names))
+    for most in (common.BROADCAST_ROWS, 0):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(quality, "attach", lambda *x, most=most, **k: common.attach(*x, most=most, **k))
+            got = sorted((r.doc_id if r.doc_id is not None else -1, r.text_ratio, r.host_rate, r.path_rate, r.quality, r.keep) for r in quality.classify(df, model).collect())
+            kept = quality.keep_good(df, model)
+            assert kept.columns == df.columns
+            left = kept.collect()
+        for x, y in zip(got, sorted(want), strict=True):
+            assert x == pytest.approx(y, abs=1e-9)
+        assert sorted(-1 if r.doc_id is None else r.doc_id for r in left) == sorted(w[0] for w in want if w[5]) and all(r[n] == -1.0 for r in left for n in names)
+
+
+def test_hot_keys_are_dealt_out(spark):
+    """99 of 100 rows have one key: labels and statistics still reach every row."""
+    rows = spark.createDataFrame([(i, 0 if i < 9900 else i) for i in range(10_000)], "id long, key long")
+    labels = rows.groupBy("key").count().withColumnsRenamed({"count": "_n"}).withColumn("label", common.F.col("key") + 1)
+    got = common.join_labels(rows, labels, "key")
+    assert got.count() == 10_000 and got.where("label != key + 1").count() == 0
+    out = common.attach(rows, labels.drop("_n"), ["key"], most=0)
+    assert out.count() == 10_000 and out.where("label != key + 1").count() == 0
+    tiles = linking.in_tiles(rows, "key", "id", 100)
+    assert tiles.where("key != 0").count() == 0 and tiles.groupBy("_a", "_b").count().agg({"count": "max"}).first()[0] < 400
