@@ -13,7 +13,6 @@ alters up to SPAN + 1 integers and RUN - 1 runs more, so of recordings with half
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from math import ceil
 
@@ -60,36 +59,46 @@ def _fold() -> np.ndarray:
     return out
 
 
-_FOLD = _fold()
-_HANN = np.hanning(2 * FRAME)
+_FOLD = _fold().astype(np.float32)
+_HANN = np.hanning(2 * FRAME).astype(np.float32)
+#: Chroma are multiples of one part in so many, so that their sums are exact, in whatever order; frames are transformed so many at a time.
+PARTS, AT_ONCE = 1 << 20, 4096
+
+
+def _chroma(sounds: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(frames of all recordings in turn x 12 pitch classes, how many frames each has)."""
+    n = np.array([len(s) // (2 * FRAME) for s in sounds], dtype=np.int64)
+    x = np.frombuffer(b"".join([s[: 2 * FRAME * k] + bytes(2 * FRAME) for s, k in zip(sounds, n.tolist(), strict=True)] or [b""]), dtype="<i2")
+    frames = np.lib.stride_tricks.sliding_window_view(x, 2 * FRAME)[::FRAME] if len(x) >= 2 * FRAME else np.zeros((0, 2 * FRAME), "<i2")
+    own = np.ones(int((n + 1).sum()), dtype=bool)
+    own[np.cumsum(n + 1) - 1] = False  # a frame of silence ends each recording
+    rows = np.flatnonzero(own)
+    out = np.empty((len(rows), 12))
+    for a in range(0, len(rows), AT_ONCE):
+        f = np.fft.rfft(frames[rows[a : a + AT_ONCE]].astype(np.float32) * _HANN, axis=1)
+        c = (f.real**2 + f.imag**2) @ _FOLD + np.float32(1e-6)
+        out[a : a + AT_ONCE] = np.rint(c / c.sum(axis=1, keepdims=True) * PARTS) / PARTS
+    return out, n
 
 
 def chroma(audio: bytes) -> np.ndarray:
     """Frames x 12 pitch classes, each frame scaled to sum 1; silent frames are even. A last part of less than a frame is left off."""
-    x = np.frombuffer(audio[: len(audio) // 2 * 2], dtype="<i2").astype(np.float32)
-    n = len(x) // FRAME
-    if not n:
-        return np.zeros((0, 12))
-    x = np.concatenate([x[: n * FRAME], np.zeros(FRAME, np.float32)])
-    frames = np.lib.stride_tricks.sliding_window_view(x, 2 * FRAME)[::FRAME] * _HANN
-    c = (np.abs(np.fft.rfft(frames, axis=1)) ** 2) @ _FOLD + 1e-6
-    return c / c.sum(axis=1, keepdims=True)
+    return _chroma([audio])[0]
 
 
-def fingerprint(audio: bytes) -> np.ndarray:
-    """One packed integer for each window of SPAN frames; none for shorter audio."""
-    c = chroma(audio)
-    n = len(c) - SPAN + 1
-    if n < 1:
-        return np.zeros(0, dtype=np.uint32)
+def fingerprint_many(sounds: list[bytes]) -> list[np.ndarray]:
+    """For each recording, one packed integer for each window of SPAN frames; none for shorter audio."""
+    c, n = _chroma(sounds)
     image = np.zeros((len(c) + 1, 13))
     image[1:, 1:] = c.cumsum(axis=0).cumsum(axis=1)
-    at = np.arange(n)
+    size = np.maximum(0, n - SPAN + 1)
+    at = np.arange(size.sum()) + np.repeat(np.cumsum(n) - n - (np.cumsum(size) - size), size)
 
     def area(t0: int, t1: int, p0: int, p1: int) -> np.ndarray:
-        return image[at + t1, p1] - image[at + t0, p1] - image[at + t1, p0] + image[at + t0, p0]
+        return columns[p1][at + t1] - columns[p1][at + t0] - columns[p0][at + t1] + columns[p0][at + t0]
 
-    out = np.zeros(n, dtype=np.uint32)
+    columns = np.ascontiguousarray(image.T)
+    out = np.zeros(len(at), dtype=np.uint32)
     for kind, p, h, w in FILTERS:
         whole = area(0, w, p, p + h)
         if kind == 0:  # earlier against later
@@ -100,9 +109,14 @@ def fingerprint(audio: bytes) -> np.ndarray:
             a = area(w // 4, 3 * w // 4, p, p + h)
         else:  # two corners against the other two
             a = area(0, w // 2, p, p + h // 2) + area(w // 2, w, p + h // 2, p + h)
-        value = np.log((a + 1e-3) / (whole - a + 1e-3))
-        out = out << np.uint32(2) | _GRAY[np.searchsorted(STEPS, value)]
-    return out
+        a, rest = a + 1e-3, whole - a + 1e-3
+        level = sum((a > rest * np.exp(s)).astype(np.uint32) for s in STEPS)  # steps that the log ratio is over
+        out = out << np.uint32(2) | _GRAY[level]
+    return np.split(out, np.cumsum(size)[:-1]) if len(size) else []
+
+
+def fingerprint(audio: bytes) -> np.ndarray:
+    return fingerprint_many([audio])[0]
 
 
 def runs(ints: np.ndarray) -> np.ndarray:
@@ -156,17 +170,16 @@ def _run_count(n: int) -> int:
     return n - RUN + 1 if n >= RUN else n
 
 
-def prefix(ints: np.ndarray) -> list[int]:
+def prefix(ints: np.ndarray) -> np.ndarray:
     """Hashes of the runs, repeats numbered, that a recording is found by: those first in hash order."""
-    own = runs(ints)
-    seen: Counter = Counter()
-    tokens = []
-    for x in own.tolist():
-        tokens.append(xxhash.xxh64_intdigest(b"%d:%d" % (x, seen[x]), 5))
-        seen[x] += 1
+    own = np.sort(runs(ints))
+    first = np.flatnonzero(np.concatenate([[len(own) > 0], own[1:] != own[:-1]])[: len(own)])
+    nth = np.arange(len(own)) - np.repeat(first, np.diff(np.concatenate([first, [len(own)]])))
+    tokens = (own + nth.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x9E3779B97F4A7C15)
+    tokens ^= tokens >> np.uint64(31)
     shortest = max(ceil(RATIO * len(ints)), min(len(ints), RUN)) if len(ints) >= RUN else len(ints)  # of those it can be linked to
     need = max(1, ceil(RUNS * _run_count(shortest)))
-    return [t - (1 << 64) if t >> 63 else t for t in sorted(tokens)[: len(own) - need + 1]]
+    return np.sort(tokens.view(np.int64))[: max(0, len(own) - need + 1)]
 
 
 def render(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -204,10 +217,10 @@ def fingerprints(media: DataFrame, keys: list[str], audio: str = "audio") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(keys)
         for batch in batches:
-            for a in range(0, batch.num_rows, 64):
-                part = batch.slice(a, 64)
-                sound = [x or b"" for x in part.column(k).to_pylist()]
-                ints = [fingerprint(x).astype("<u4").tobytes() for x in sound]
+            for a, b, found in text_slices(batch, "audio"):
+                part = batch.slice(a, b - a)
+                sound = [x or b"" for x in found]
+                ints = [x.astype("<u4").tobytes() for x in fingerprint_many(sound)]
                 digest = [xxhash.xxh3_128_digest(i or x, len(i) > 0) for i, x in zip(ints, sound, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:k], pa.array(digest, pa.binary()), pa.array([len(i) // 4 for i in ints], pa.int32()), pa.array(ints, pa.binary())], names=[*names, "digest", "n", "ints"])
 
@@ -233,7 +246,7 @@ def recording_classes(media: DataFrame, keys: list[str], audio: str = "audio") -
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
                 found = [prefix(np.frombuffer(x, dtype="<u4")) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([t for f in found for t in f], pa.int64()), part.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found])))], names=["token", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), part.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found])))], names=["token", "id"])
 
     entries = staged(once.where("n > 0").select("id", "ints").mapInArrow(tokens, "token long, id long"), "tokens")
     bucket = in_tiles(entries, "token", "id").join(once.select("id", "digest", "ints"), "id")
