@@ -12,24 +12,20 @@ _PLACE = "element_at(array('ATM booth entrance', 'atm booth interior', 'Server r
 _ROLE = "case role when 'user' then 'suspect' when 'assistant' then 'witness' else role end"
 
 
-#: What the queries with SQL see of a turn: their SQL reads so many characters.
-SQL_CHARS = 120
-
-
-def conversation_observations(conversations: DataFrame, most: int | None = None) -> DataFrame:
-    """Each conversation a case, each turn an observation 40 seconds after the one before, its content the whole text or the first `most` characters."""
+def conversation_observations(conversations: DataFrame) -> DataFrame:
+    """Each conversation a case, each turn an observation 40 seconds after the one before, its content the whole text; a quarter of the turns are reported again, 20 seconds later and in another modality."""
     entity = f"case when turn % 4 < 2 then concat({_ROLE}, ' ', cast(conv_id % 5 as string)) else concat('Speaker_', chr(65 + cast(turn % 3 as int))) end"
-    return conversations.selectExpr(
+    return conversations.withColumn("again", F.explode(F.expr("case when (turn + conv_id) % 4 = 0 then array(0, 1) else array(0) end"))).selectExpr(
         "cast(conv_id as string) case_id",
-        "cast(turn as long) ord",
-        "concat('O', cast(turn as string)) obs_id",
+        "cast(turn * 2 + again as long) ord",
+        "concat(if(again = 1, 'R', 'O'), cast(turn as string)) obs_id",
         f"{entity} entity",
         f"{_ROLE} role",
-        f"{_MODALITY.format('(turn + conv_id)')} modality",
+        f"{_MODALITY.format('(turn + conv_id + again)')} modality",
         f"{_PLACE.format('(turn + conv_id)')} location",
-        "text content" if most is None else f"substring(text, 1, {most}) content",
-        "date_format(timestamp_seconds(1705312800 + turn * 40), \"yyyy-MM-dd'T'HH:mm:ss\") timestamp",
-        "cast((conv_id * 7 + turn * 13) % 100 / 100.0D as string) confidence",
+        "coalesce(text, '') content",
+        "date_format(timestamp_seconds(1705312800 + turn * 40 + again * 20), \"yyyy-MM-dd'T'HH:mm:ss\") timestamp",
+        "cast((conv_id * 7 + turn * 13 + again * 29) % 100 / 100.0D as string) confidence",
     )
 
 
@@ -81,10 +77,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def adapted(spark: SparkSession, sf_dir: str, kind: str = "conv") -> DataFrame:
-    """kind: conv, conversations as the SQL of queries reads them; turns, the same with whole texts; event."""
-    if kind == "event":
-        return event_observations(table(spark, sf_dir, "events"))
-    return conversation_observations(table(spark, sf_dir, "conversations"), SQL_CHARS if kind == "conv" else None)
+    """kind: conv, conversations; event, events."""
+    return event_observations(table(spark, sf_dir, "events")) if kind == "event" else conversation_observations(table(spark, sf_dir, "conversations"))
 
 
 def example_constraints(spark: SparkSession, raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

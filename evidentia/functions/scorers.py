@@ -22,12 +22,14 @@ Service = Callable[[list[tuple[str, str]]], str]
 
 
 def parse_scores(answer: str) -> dict[int, float]:
-    """Scores by index of an answer that may be fenced or have words around its first JSON object; what is no number is left out."""
-    found = re.search(r"\{.*?\}", answer or "", re.S)
-    try:
-        raw = json.loads(found[0]) if found else {}
-    except ValueError:
-        return {}
+    """Scores by index of an answer that may be fenced or have words around its first JSON object, nested ones included; what is no number is left out."""
+    raw, text = {}, answer or ""
+    for at in (i for i, c in enumerate(text) if c == "{"):
+        try:
+            raw = json.JSONDecoder().raw_decode(text, at)[0]
+            break
+        except ValueError:
+            continue
     out = {}
     for k, v in raw.items():
         if re.fullmatch(r"\d+", str(k)):

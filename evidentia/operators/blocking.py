@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from evidentia.config import ErConfig
 from evidentia.functions.text import alias_norm, folded
 
-CARRIED = ("ord", "obs_id", "entity", "entity_norm", "role", "modality", "location", "content", "confidence", "time_offset_sec")
+#: What finding pairs needs of either side, and what is joined to the pairs that are left.
+CARRIED = ("ord", "obs_id", "entity_norm", "role", "modality", "location", "time_offset_sec")
+JOINED = ("entity", "content", "confidence")
 
 
 def _side(obs: DataFrame, side: str) -> DataFrame:
@@ -100,9 +102,7 @@ def without_forbidden(pairs: DataFrame, must_not_merge: DataFrame) -> DataFrame:
 
 def forbidden_pairs(obs: DataFrame, must_not_merge: DataFrame) -> DataFrame:
     """(case_id, obs_id_1, obs_id_2) of every pair that must_not_merge names."""
-    a, b = _side(obs, "a"), _side(obs, "b")
-    pairs = _alias_pair(a.join(b, "case_id").where("ord_a < ord_b"))
-    return named(pairs.join(_normed(must_not_merge), ["case_id", "lo", "hi"], "left_semi")).select("case_id", "obs_id_1", "obs_id_2")
+    return forced_pairs(obs, must_not_merge).select("case_id", "obs_id_1", "obs_id_2")
 
 
 def capped(pairs: DataFrame, most: int | None) -> DataFrame:
@@ -113,8 +113,18 @@ def capped(pairs: DataFrame, most: int | None) -> DataFrame:
     return pairs.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
 
 
-def candidates(obs: DataFrame, cfg: ErConfig, must_merge: DataFrame | None = None, must_not_merge: DataFrame | None = None, large_cases: bool = False) -> DataFrame:
-    """Candidate pairs with both sides' columns and `forced`; constraints that are None don't exist."""
+def with_sides(pairs: DataFrame, obs: DataFrame) -> DataFrame:
+    """Pairs with the rest of both sides' columns: texts are joined to the pairs that are left, not carried through the search for them."""
+    for side in "ab":
+        pairs = pairs.join(obs.select("case_id", F.col("obs_id").alias(f"obs_id_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in JOINED)), ["case_id", f"obs_id_{side}"])
+    return pairs
+
+
+def candidates(obs: DataFrame, cfg: ErConfig, must_merge: DataFrame | None = None, must_not_merge: DataFrame | None = None, large_cases: bool = True) -> DataFrame:
+    """Candidate pairs with both sides' columns and `forced`; constraints that are None don't exist.
+
+    large_cases: pairs are found by buckets, whatever a case's size; else by one self-join of each case, for cases known to be small.
+    """
     found = (pairs_by_buckets if large_cases else pairs_by_join)(obs, cfg)
     out = found.withColumn("forced", F.lit(False))
     if must_merge is not None:
@@ -122,4 +132,4 @@ def candidates(obs: DataFrame, cfg: ErConfig, must_merge: DataFrame | None = Non
         out = forced.unionByName(out.join(forced.select("case_id", "obs_id_1", "obs_id_2"), ["case_id", "obs_id_1", "obs_id_2"], "left_anti"))
     if must_not_merge is not None:
         out = without_forbidden(out, must_not_merge)
-    return capped(out, cfg.max_pairs)
+    return with_sides(capped(out, cfg.max_pairs), obs)

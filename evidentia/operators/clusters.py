@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from evidentia.config import ErConfig
 from evidentia.functions.text import folded
 from evidentia.plans.components import connected_components
 from evidentia.plans.groups import map_groups
+from evidentia.plans.runtime import staged
 
 CLUSTER = "case_id STRING, cluster_id STRING, obs_id STRING, member_ord BIGINT"
 
@@ -52,46 +53,60 @@ def numbered(comps: DataFrame) -> DataFrame:
     return comps.select("case_id", F.concat(F.lit("C"), number).alias("cluster_id"), "obs_id", member.cast("long").alias("member_ord"))
 
 
-def attach(clusters: DataFrame, edges: DataFrame, cfg: ErConfig) -> tuple[DataFrame, DataFrame]:
+def attachments(clusters: DataFrame, edges: DataFrame, cfg: ErConfig, keep: Callable[[DataFrame, str], DataFrame] = staged) -> tuple[DataFrame, DataFrame]:
     """Fold each case's likely and possible edges, in order (obs_id_1, obs_id_2), over its clusters.
 
     An edge with a single observation at an end moves it to the other end's cluster if the weight is high enough, else both ends
     get a candidate mention of each other. Which ends are single is settled before the edge changes anything. The fold depends
-    on its order, so it runs per case, whose edges are capped. Returns clusters, with those that moved last, and mentions
-    (case_id, obs_id, mention_ord, candidate_alias, score, reasons).
+    on its order, so it runs per case, over the edges with an end that starts out single. Returns moves (case_id, obs_id, to, n: their order) and
+    mentions (case_id, obs_id, mention_ord, candidate_alias, score, reasons). `keep` writes the fold's result, which both read.
     """
-    e = edges.where("classification in ('likely', 'possible')").select("case_id", F.lit(1).alias("kind"), "obs_id_1", "obs_id_2", "alias_1", "alias_2", "weight", "reasons", F.lit(None).cast("long").alias("member_ord"))
-    none = F.lit(None)
-    c = clusters.select("case_id", F.lit(0).alias("kind"), F.col("cluster_id").alias("obs_id_1"), F.col("obs_id").alias("obs_id_2"), none.cast("string").alias("alias_1"), none.cast("string").alias("alias_2"), none.cast("double").alias("weight"), none.cast("array<string>").alias("reasons"), "member_ord")
+    sizes = clusters.groupBy("case_id", "cluster_id").agg(F.count("*").alias("size"))
+    placed = clusters.join(sizes, ["case_id", "cluster_id"]).select("case_id", "obs_id", "cluster_id", "size")
+    e = edges.where("classification in ('likely', 'possible')").select("case_id", "obs_id_1", "obs_id_2", "alias_1", "alias_2", "weight", "reasons")
+    for i in "12":
+        e = e.join(placed.withColumnsRenamed({"obs_id": f"obs_id_{i}", "cluster_id": f"cluster_{i}", "size": f"size_{i}"}), ["case_id", f"obs_id_{i}"])
+    # a cluster that has more than one member never becomes single, so other edges do nothing
+    e = e.where("size_1 = 1 or size_2 = 1")
     least = cfg.attachment_threshold
 
     def fold(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
         of: dict[str, str] = {}
-        members: dict[str, list[str]] = {}
-        moved = False
-        for kind, one, two, *_, order in sorted((r for r in rows if r[0] == 0), key=lambda r: (r[1], r[-1])):
-            of[two] = one
-            members.setdefault(one, []).append(two)
-        mentions = []
-        for _, one, two, alias_1, alias_2, weight, reasons, _ in sorted((r for r in rows if r[0] == 1), key=lambda r: r[1:3]):
-            single = [len(members[of[x]]) == 1 if x in of else False for x in (one, two)]
-            for is_single, x, y, ax, ay in ((single[0], one, two, alias_1, alias_2), (single[1], two, one, alias_2, alias_1)):
-                if not is_single or y not in of:
-                    continue
-                if weight >= least:
-                    members[of[y]].append(x)
-                    members[of[x]].remove(x)
+        size: dict[str, int] = {}
+        n = 0
+        for seq, (one, two, alias_1, alias_2, weight, reasons, cluster_1, cluster_2, size_1, size_2) in enumerate(rows):
+            for x, c, k in ((one, cluster_1, size_1), (two, cluster_2, size_2)):
+                of.setdefault(x, c), size.setdefault(c, k)
+            single = [size[of[x]] == 1 for x in (one, two)]
+            for i, (is_single, x, y, ax, ay) in enumerate(((single[0], one, two, alias_1, alias_2), (single[1], two, one, alias_2, alias_1))):
+                if is_single and weight >= least:
+                    size[of[x]] -= 1
                     of[x] = of[y]
-                else:
-                    mentions += [(x, ay, weight, reasons), (y, ax, weight, reasons)]
-        for cluster, xs in members.items():
-            yield from ((*key, "member", cluster, x, i + 1, None, None, None) for i, x in enumerate(xs))
-        yield from ((*key, "mention", None, x, i, alias, w, r) for i, (x, alias, w, r) in enumerate(mentions))
-
-    made = map_groups(c.unionByName(e), ["case_id"], ["kind", "obs_id_1", "obs_id_2", "alias_1", "alias_2", "weight", "reasons", "member_ord"], fold, "case_id STRING, kind STRING, cluster_id STRING, obs_id STRING, n BIGINT, candidate_alias STRING, score DOUBLE, reasons ARRAY<STRING>")
-    members = made.where("kind = 'member'").select("case_id", "cluster_id", "obs_id", F.col("n").alias("member_ord"))
+                    size[of[x]] += 1
+                    yield (*key, "move", of[x], x, 2 * seq + i, None, None, None)
+                elif is_single:
+                    yield (*key, "mention", None, x, n, ay, weight, reasons)
+                    yield (*key, "mention", None, y, n + 1, ax, weight, reasons)
+                    n += 2
+
+    made = map_groups(e, ["case_id"], ["obs_id_1", "obs_id_2", "alias_1", "alias_2", "weight", "reasons", "cluster_1", "cluster_2", "size_1", "size_2"], fold, "case_id STRING, kind STRING, cluster_id STRING, obs_id STRING, n BIGINT, candidate_alias STRING, score DOUBLE, reasons ARRAY<STRING>", order=["obs_id_1", "obs_id_2"])
+    made = keep(made, "attachments")
+    moves = made.where("kind = 'move'").select("case_id", "obs_id", F.col("cluster_id").alias("to"), "n")
     mentions = made.where("kind = 'mention'").select("case_id", "obs_id", F.col("n").alias("mention_ord"), "candidate_alias", F.round("score", 4).alias("score"), "reasons")
-    return members, mentions
+    return moves, mentions
+
+
+def moved(clusters: DataFrame, moves: DataFrame) -> DataFrame:
+    """Clusters after the moves: those that moved come last in their cluster, in the order of their moves."""
+    after = clusters.join(moves, ["case_id", "obs_id"], "left").select("case_id", F.coalesce("to", "cluster_id").alias("cluster_id"), "obs_id", "n", "member_ord")
+    order = Window.partitionBy("case_id", "cluster_id").orderBy(F.col("n").asc_nulls_first(), "member_ord")
+    return after.select("case_id", "cluster_id", "obs_id", F.row_number().over(order).cast("long").alias("member_ord"))
+
+
+def attach(clusters: DataFrame, edges: DataFrame, cfg: ErConfig) -> tuple[DataFrame, DataFrame]:
+    """Members after the fold, and mentions."""
+    moves, mentions = attachments(clusters, edges, cfg)
+    return moved(clusters, moves), mentions
 
 
 def confidence(clusters: DataFrame, obs: DataFrame, edges: DataFrame) -> DataFrame:

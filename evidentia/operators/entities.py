@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import json
 import time
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from evidentia.config import ErConfig
 from evidentia.operators import blocking, clusters, intake, scoring
+from evidentia.plans.runtime import staged, unstage
+from evidentia.schema import RAW
 
 
 def numbered(members: DataFrame) -> DataFrame:
@@ -89,24 +91,72 @@ def cluster_documents(members: DataFrame, obs: DataFrame, touched: DataFrame) ->
 
 
 class Resolution:
-    """The resolver's stages over raw observations of any number of cases, as DataFrames: obs, pairs, edges, members, mentions, conflicts, entities, documents."""
+    """The resolver's stages over raw observations of any number of cases, as DataFrames: obs, pairs, edges, clusters, members, mentions, conflicts, entities, documents.
 
-    def __init__(self, raw: DataFrame, cfg: ErConfig | None = None, must_merge: DataFrame | None = None, must_not_merge: DataFrame | None = None, soft_hints: DataFrame | None = None, scorers: dict | None = None, large_cases: bool = False):
+    Each is made when it is first asked for. Stages that later ones read many times are written once to the shared folder, so that plans stay
+    small and lost executors cost no more than their tasks; close() deletes them.
+    """
+
+    def __init__(self, raw: DataFrame, cfg: ErConfig | None = None, must_merge: DataFrame | None = None, must_not_merge: DataFrame | None = None, soft_hints: DataFrame | None = None, scorers: dict | None = None, large_cases: bool = True):
         self.cfg = cfg = cfg or ErConfig()
         if cfg.temporal_window_sec <= 0 or cfg.max_temporal_gap_sec <= cfg.temporal_window_sec:
             raise ValueError("needs 0 < temporal_window_sec < max_temporal_gap_sec")
-        self.raw = raw
+        self.raw, self.must_merge, self.must_not_merge, self.soft_hints, self.scorers, self.large_cases = raw, must_merge, must_not_merge, soft_hints, scorers, large_cases
         self.quarantine = intake.quarantine(raw)
-        self.obs = intake.observations(raw, cfg.check_duplicates).persist(StorageLevel.DISK_ONLY)
-        self.pairs = blocking.candidates(self.obs, cfg, must_merge, must_not_merge, large_cases)
-        # stages after this one read the edges many times
-        self.edges = scoring.edges(self.pairs, cfg, soft_hints, scorers).persist(StorageLevel.DISK_ONLY)
-        self.components = clusters.components(self.obs, self.edges, cfg.max_pairs is not None)
-        self.clusters = clusters.numbered(self.components)
-        self.members, self.mentions = clusters.attach(self.clusters, self.edges, cfg)
-        self.confidence = clusters.confidence(self.members, self.obs, self.edges)
-        self.conflicts = clusters.conflicts(self.members, self.obs, self.confidence, cfg)
-        self.touched = touching(self.members, self.edges)
+        self._kept: list[DataFrame] = []
+
+    def _staged(self, df: DataFrame, name: str) -> DataFrame:
+        self._kept.append(staged(df, name))
+        return self._kept[-1]
+
+    def close(self) -> None:
+        """Delete what was written on the way; nothing of this resolution can be read afterwards."""
+        unstage(*self._kept)
+
+    @cached_property
+    def obs(self) -> DataFrame:
+        return self._staged(intake.observations(self.raw, self.cfg.check_duplicates), "observations")
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return blocking.candidates(self.obs, self.cfg, self.must_merge, self.must_not_merge, self.large_cases)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return self._staged(scoring.edges(self.pairs, self.cfg, self.soft_hints, self.scorers), "scored_edges")
+
+    @cached_property
+    def components(self) -> DataFrame:
+        return clusters.components(self.obs, self.edges, self.cfg.max_pairs is not None)
+
+    @cached_property
+    def clusters(self) -> DataFrame:
+        return self._staged(clusters.numbered(self.components), "clusters")
+
+    @cached_property
+    def _attached(self) -> tuple[DataFrame, DataFrame]:
+        moves, mentions = clusters.attachments(self.clusters, self.edges, self.cfg, self._staged)
+        return self._staged(clusters.moved(self.clusters, moves), "members"), mentions
+
+    @property
+    def members(self) -> DataFrame:
+        return self._attached[0]
+
+    @property
+    def mentions(self) -> DataFrame:
+        return self._attached[1]
+
+    @cached_property
+    def confidence(self) -> DataFrame:
+        return self._staged(clusters.confidence(self.members, self.obs, self.edges), "confidence")
+
+    @cached_property
+    def conflicts(self) -> DataFrame:
+        return clusters.conflicts(self.members, self.obs, self.confidence, self.cfg)
+
+    @cached_property
+    def touched(self) -> DataFrame:
+        return self._staged(touching(self.members, self.edges), "touched")
 
     def entities(self) -> DataFrame:
         """One row per canonical entity."""
@@ -123,8 +173,8 @@ class Resolution:
     def cluster_documents(self) -> DataFrame:
         return cluster_documents(self.members, self.obs, self.touched)
 
-    def documents(self) -> DataFrame:
-        """One result document per case that has an observation, also one whose rows are all in quarantine."""
+    def documents(self, timings: dict[str, float] | None = None) -> DataFrame:
+        """One result document per case that has an observation, also one whose rows are all in quarantine. timings: seconds by stage, as timings() gives them, to be told in each."""
         def gathered(df: DataFrame, name: str, order: str) -> DataFrame:
             fields = [c for c in df.columns if c != "case_id"]
             inner = [c for c in fields if name != "canonical_entities" or c != "cluster_id"]
@@ -138,9 +188,20 @@ class Resolution:
         return out.select(
             "case_id", F.when(n > 0, "awaiting_human_validation").otherwise("success").alias("status"), F.lit(None).cast("string").alias("error_message"),
             F.coalesce(F.size("canonical_entities"), F.lit(0)).alias("entity_count"), "canonical_entities", "clusters", n.alias("conflicts_detected"),
-            F.lit(json.dumps(self.cfg.echo())).alias("configuration"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"),
+            F.lit(json.dumps(self.cfg.echo())).alias("configuration"), F.lit(sum(timings.values()) if timings else None).cast("double").alias("total_processing_time_sec"), F.from_json(F.lit(json.dumps(timings) if timings else None), "map<string,double>").alias("stage_timings"),
+            F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"),
         )
 
+    def failed_documents(self, message: str) -> DataFrame:
+        """Documents of the same shape that say a resolution failed, one for each case of the raw rows."""
+        none = lambda t: F.lit(None).cast(t)
+        cases = self.raw.select(F.coalesce(F.when(F.col("case_id") != "", F.col("case_id")), F.lit(intake.NO_CASE)).alias("case_id")).distinct()
+        nothing = Resolution(self.raw.sparkSession.createDataFrame([], RAW), self.cfg)
+        shape = {f.name: f.dataType for f in nothing.documents().schema}
+        nothing.close()
+        own = {"case_id": F.col("case_id"), "status": F.lit("failed"), "error_message": F.lit(message), "entity_count": F.lit(0), "conflicts_detected": F.lit(0), "configuration": F.lit(json.dumps(self.cfg.echo())), "created_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")}
+        return cases.select(*(own.get(c, none(t)).cast(t).alias(c) for c, t in shape.items()))
+
     def timeline(self) -> DataFrame:
         """What a timeline stage reads."""
         return self.documents().select("case_id", "canonical_entities", "clusters", "conflicts_detected")
@@ -155,6 +216,12 @@ class Resolution:
         return out
 
 
-def resolve_entities(cases: DataFrame, cfg: ErConfig | None = None, **constraints) -> DataFrame:
-    """Result documents of case documents (case_id, observations)."""
-    return Resolution(intake.flatten(cases), cfg, **constraints).documents()
+def resolve_entities(cases: DataFrame, cfg: ErConfig | None = None, report_failure: bool = False, **constraints) -> DataFrame:
+    """Result documents of case documents (case_id, observations). report_failure: resolve now, and if that fails give documents that say so."""
+    r = Resolution(intake.flatten(cases), cfg, **constraints)
+    if not report_failure:
+        return r.documents()
+    try:
+        return staged(r.documents(), "documents")
+    except Exception as e:  # noqa: BLE001  whatever a stage or a plugged-in scorer raises
+        return r.failed_documents(str(e).splitlines()[0])

@@ -1,7 +1,7 @@
 """DuckDB SQL of the resolver's stages over the driver's tables, as one chain of common table expressions.
 
-The fuzzy ratios are Indel ratios by a bit-parallel longest common subsequence on 128-bit integers, which texts of at most 120
-characters fit.
+The fuzzy ratios are Indel ratios by a bit-parallel longest common subsequence over whole texts: a text's bit vector is a list of words
+of WORD bits, and the carry of each word's sum goes on to the next. The attachment fold is a recursion over each case's edges in order.
 """
 
 from __future__ import annotations
@@ -33,12 +33,12 @@ PLACE = "(['ATM booth entrance', 'atm booth interior', 'Server room 3', ''])[1 +
 #: name -> SQL; each may read the earlier ones.
 CHAIN: dict[str, str] = {
     "raw_conv": f"""
-        select cast(conv_id as varchar) case_id, cast(turn as bigint) ord, 'O' || turn obs_id,
+        select cast(conv_id as varchar) case_id, cast(turn * 2 + again as bigint) ord, case when again = 1 then 'R' else 'O' end || turn obs_id,
             case when turn % 4 < 2 then {ROLE} || ' ' || (conv_id % 5) else 'Speaker_' || chr(65 + cast(turn % 3 as int)) end entity, {ROLE} as role,
-            {MODALITY.format('turn + conv_id')} modality, {PLACE.format('turn + conv_id')} as location, substring(text, 1, 120) content,
-            strftime(make_timestamp((1705312800 + turn * 40) * 1000000), '%Y-%m-%dT%H:%M:%S') "timestamp",
-            cast((conv_id * 7 + turn * 13) % 100 / 100.0::double as varchar) confidence
-        from conversations""",
+            {MODALITY.format('turn + conv_id + again')} modality, {PLACE.format('turn + conv_id')} as location, coalesce(text, '') content,
+            strftime(make_timestamp((1705312800 + turn * 40 + again * 20) * 1000000), '%Y-%m-%dT%H:%M:%S') "timestamp",
+            cast((conv_id * 7 + turn * 13 + again * 29) % 100 / 100.0::double as varchar) confidence
+        from conversations, (values (0), (1)) t(again) where again = 0 or (turn + conv_id) % 4 = 0""",
     "raw_event": f"""
         select strftime(ts, '%Y-%m-%d') case_id, cast(event_id as bigint) ord, case when event_id % 97 <> 0 then 'E' || event_id end obs_id,
             'User ' || (user_id % 40) entity, case when event_type in ('click', 'view') then 'suspect' else 'witness' end as role,
@@ -85,16 +85,28 @@ def _tokens(x: str) -> str:
     return f"list_sort(list_distinct(list_filter(regexp_split_to_array({x}, '\\s+'), lambda t: t <> '')))"
 
 
+#: Bits of a word of a longest common subsequence's vector: the sum of two and a carry fits a signed 128-bit integer.
+WORD = 120
+
+
 def _lcs_table(name: str, source: str) -> dict[str, str]:
     """Tables that give lcs for each pair (x, y) of `source`: the masks of x's characters are made once for each pair and character of y."""
+    full = f"((1::hugeint << {WORD}) - 1)"
+    words = f"range((length({{0}}) + {WORD - 1}) // {WORD})"
+    total = "(e.v + (e.v & e.m) + a.c)"
+    one = "{{'v': {0}, 'm': {1}, 'c': 0::hugeint, 'o': []::hugeint[]}}"
+    # a character's step over the words of v: sums with carry, and the new words in o
+    step = f"""list_reduce(list_concat([{one.format('0::hugeint', '0::hugeint')}], list_transform(range(1, len(v) + 1), lambda k: {one.format('v[k]', 'm[k]')})),
+        lambda a, e: {{'v': 0::hugeint, 'm': 0::hugeint, 'c': {total} >> {WORD}, 'o': list_append(a.o, ({total} & {full}) | (e.v - (e.v & e.m)))}}).o"""
     return {
         f"{name}_c": f"select x, y, unnest(regexp_extract_all(y, '(?s).')) c, unnest(range(length(y))) j from {source}",
         f"{name}_u": f"select distinct x, c from {name}_c",
-        f"{name}_p": f"select x, c, coalesce(sum(1::hugeint << (i::int)), 0)::hugeint m from (select u.x, u.c, i from {name}_u u, unnest(range(length(u.x))) t(i) where substring(u.x, (i + 1)::bigint, 1) = u.c) group by 1, 2",
-        f"{name}_m": f"select a.x, a.y, list(coalesce(p.m, 0::hugeint) order by a.j) ms from {name}_c a left join {name}_p p on a.x = p.x and a.c = p.c group by 1, 2",
+        f"{name}_p": f"select x, c, w, sum(1::hugeint << (i % {WORD})::int)::hugeint m from (select u.x, u.c, i // {WORD} w, i from {name}_u u, unnest(range(length(u.x))) t(i) where substring(u.x, (i + 1)::bigint, 1) = u.c) group by 1, 2, 3",
+        f"{name}_w": f"select x, c, list_transform({words.format('x')}, lambda k: coalesce(map_from_entries(list((w, m)))[k], 0::hugeint)) m from {name}_p group by 1, 2",
+        f"{name}_m": f"select a.x, a.y, list(coalesce(p.m, list_transform({words.format('a.x')}, lambda k: 0::hugeint)) order by a.j) ms from {name}_c a left join {name}_w p on a.x = p.x and a.c = p.c group by 1, 2",
         name: f"""
-            select x, y, length(x) - bit_count(list_reduce(list_concat([(1::hugeint << length(x)::int) - 1], ms),
-                lambda v, m: (((v + (v & m)) | (v - (v & m))) & ((1::hugeint << length(x)::int) - 1)))) l from {name}_m where length(x) > 0""",
+            select x, y, (length(x) - list_sum(list_transform({words.format('x')}, lambda k: bit_count(z[k + 1] & ((1::hugeint << least({WORD}, length(x) - k * {WORD})::int) - 1)))))::bigint l
+            from (select x, y, list_reduce(list_concat([list_transform({words.format('x')}, lambda k: {full})], ms), lambda v, m: {step}) z from {name}_m where length(x) > 0)""",
     }
 
 
@@ -184,15 +196,97 @@ def _clusters() -> dict[str, str]:
     }
 
 
+def _fold(threshold: float = 0.7) -> dict[str, str]:
+    """Likely and possible edges folded over each case's clusters in order: members afterwards, and mentions; of(x): the state's entry of an observation."""
+    of = lambda x: f"list_filter(s, lambda e: e.o = {x})[1].c"
+    size = lambda c: f"len(list_filter(s, lambda e: e.c = {c}))"
+    return {
+        "fold_edges": "select case_id, obs_id_1 o1, obs_id_2 o2, alias_1, alias_2, weight, reasons, row_number() over (partition by case_id order by obs_id_1, obs_id_2) n from edges where classification in ('likely', 'possible')",
+        "fold": f"""
+            select case_id, 0::bigint n, list({{'o': obs_id, 'c': cluster_id, 'r': member_ord::bigint}}) s, null::varchar o1, null::varchar o2, null::varchar a1, null::varchar a2, null::double w, null::varchar[] reasons, false single1, false single2 from clusters group by 1
+            union all
+            select case_id, n, list_transform(s, lambda e: case when e.o = o1 and single1 and w >= {threshold}::double then {{'o': e.o, 'c': c2, 'r': 1000000 + 2 * n}}
+                    when e.o = o2 and single2 and w >= {threshold}::double then {{'o': e.o, 'c': case when single1 then c2 else c1 end, 'r': 1000001 + 2 * n}} else e end) s, o1, o2, a1, a2, w, reasons, single1, single2
+            from (select *, {size('c1')} = 1 single1, {size('c2')} = 1 single2 from (
+                select f.case_id, e.n, s, e.o1, e.o2, e.alias_1 a1, e.alias_2 a2, e.weight w, e.reasons, {of('e.o1')} c1, {of('e.o2')} c2 from fold f join fold_edges e on e.case_id = f.case_id and e.n = f.n + 1))""",
+        "members": """
+            select case_id, x.c cluster_id, x.o obs_id, row_number() over (partition by case_id, x.c order by x.r) member_ord
+            from (select case_id, unnest(s) x from fold qualify row_number() over (partition by case_id order by n desc) = 1)""",
+        "mentions": f"""
+            select case_id, obs_id, row_number() over (partition by case_id order by n, slot) - 1 mention_ord, candidate_alias, round(w, 4) score, reasons from (
+                select case_id, n, w, reasons, 0 slot, o1 obs_id, a2 candidate_alias from fold where single1 and w < {threshold}::double
+                union all select case_id, n, w, reasons, 1, o2, a1 from fold where single1 and w < {threshold}::double
+                union all select case_id, n, w, reasons, 2, o2, a1 from fold where single2 and w < {threshold}::double
+                union all select case_id, n, w, reasons, 3, o1, a2 from fold where single2 and w < {threshold}::double)""",
+    }
+
+
+def _entities() -> dict[str, str]:
+    """What is packaged of members; lists are joined, so that they compare."""
+    when = lambda f: f"coalesce(strftime(make_timestamp(cast({f}(case when ts_epoch > 0 then ts_epoch end) * 1000000 as bigint)), '%Y-%m-%dT%H:%M:%SZ'), '')"
+    decimals = lambda x, n: f"cast(round(cast(cast({x} as varchar) as decimal(24, 14)), {n}) as decimal(24, {n}))"  # noqa: E731  half up, of the shortest digits
+    return {
+        "inside": """
+            select e.case_id, c1.cluster_id, sum((confidence_a + confidence_b) / 2.0::double) tw, sum((confidence_a + confidence_b) / 2.0::double * weight) ws
+            from edges e join members c1 on c1.case_id = e.case_id and c1.obs_id = obs_id_1 join members c2 on c2.case_id = e.case_id and c2.obs_id = obs_id_2
+            where classification = 'confirmed' and c1.cluster_id = c2.cluster_id group by 1, 2""",
+        "conf": """
+            select c.case_id, c.cluster_id, count(*) size, case when count(*) > 1 and coalesce(any_value(tw), 0) > 0 then any_value(ws) / any_value(tw) else avg(confidence) end cluster_confidence
+            from members c join obs using (case_id, obs_id) left join inside i on i.case_id = c.case_id and i.cluster_id = c.cluster_id group by 1, 2""",
+        "seen": "select case_id, cluster_id, entity, count(*) n, min(member_ord) f from members join obs using (case_id, obs_id) group by 1, 2, 3",
+        "named": "select case_id, cluster_id, array_to_string(list(entity order by f), '|') aliases, first(entity order by n desc, f) primary_alias, array_to_string(list(entity order by entity), '|') sorted_aliases from seen group by 1, 2",
+        "rolled": f"""
+            select case_id, cluster_id, count(*) total_mentions, array_to_string(list_sort(list(distinct modality)), '|') modalities,
+                array_to_string(list_sort(coalesce(list(distinct location) filter (location <> ''), [])), '|') locations, array_to_string(list_sort(list(distinct role)), '|') roles, array_to_string(list_sort(list(distinct obs_id)), '|') sources,
+                {when('min')} earliest_timestamp, {when('max')} latest_timestamp, coalesce(cast(max(case when ts_epoch > 0 then ts_epoch end) - min(case when ts_epoch > 0 then ts_epoch end) as bigint), 0) time_span_seconds
+            from members join obs using (case_id, obs_id) group by 1, 2""",
+        "ends": "select *, obs_id_1 obs_id from edges union all select *, obs_id_2 from edges",
+        "hits": "select c.case_id, c.cluster_id, c.obs_id, e.obs_id_1, e.obs_id_2, e.alias_1, e.alias_2, e.classification, e.weight, e.reasons from ends e join members c on c.case_id = e.case_id and c.obs_id = e.obs_id",
+        "touched": "select distinct on (case_id, cluster_id, obs_id_1, obs_id_2) * exclude (obs_id) from hits",
+        "counted": """
+            select case_id, cluster_id, count_if(classification = 'confirmed') confirmed_edges, count_if(classification in ('likely', 'possible')) candidate_edges, any_value(yes) confirmed_mentions
+            from touched left join (select case_id, cluster_id, array_to_string(list_sort(list(distinct obs_id)), '|') yes from hits where classification = 'confirmed' group by 1, 2) using (case_id, cluster_id) group by 1, 2""",
+        "mentioned": """
+            select case_id, cluster_id, array_to_string(list(candidate_alias || ':' || round(score * 10000)::bigint || ':' || array_to_string(reasons, '+') order by member_ord, mention_ord), '|') candidate_mentions from (
+                select m.*, c.cluster_id, c.member_ord from mentions m join members c using (case_id, obs_id)
+                qualify row_number() over (partition by m.case_id, c.cluster_id, candidate_alias, round_even(score, 2) order by c.member_ord, mention_ord) = 1) group by 1, 2""",
+        "edge_lists": """
+            select case_id, cluster_id, count(*) n_edges, count_if(classification = 'rejected') n_rejected, count_if(classification in ('likely', 'possible')) n_candidate,
+                array_to_string(list(alias_1 || '~' || alias_2 || ':' || round(round(weight, 4) * 10000)::bigint || ':' || case when classification = 'rejected' then '' else array_to_string(reasons, '+') end order by obs_id_1, obs_id_2), '|') edges
+            from touched group by 1, 2""",
+        "entities": """
+            select case_id, cluster_id, 'entity_' || row_number() over (partition by case_id order by cluster_id) entity_id, aliases, primary_alias, total_mentions, coalesce(confirmed_mentions, '') confirmed_mentions, coalesce(candidate_mentions, '') candidate_mentions,
+                round(cluster_confidence, 4) confidence_score, coalesce(confirmed_edges, 0) confirmed_edges, coalesce(candidate_edges, 0) candidate_edges, modalities, locations, roles, sources, earliest_timestamp, latest_timestamp, time_span_seconds
+            from named join rolled using (case_id, cluster_id) join conf using (case_id, cluster_id) left join counted using (case_id, cluster_id) left join mentioned using (case_id, cluster_id)""",
+        "per_case": "select case_id, avg(size) m, stddev_pop(size) sd, count(*) k from conf group by 1",
+        "big": "select case_id, cluster_id, size, m + 3.0::double * case when k >= 2 then sd else 1.0::double end threshold from conf join per_case using (case_id) where size > m + 3.0::double * case when k >= 2 then sd else 1.0::double end",
+        "two_places": f"select case_id, cluster_id, min(time_offset_sec) at_sec from (select case_id, cluster_id, time_offset_sec from members join obs using (case_id, obs_id) where {_folded('location')} <> '' group by 1, 2, 3 having count(distinct {_folded('location')}) > 1) group by 1, 2",
+        "conflicts": f"""
+            select case_id, cluster_id, 'physical_impossibility' as type, cluster_id || ' is in different places at second ' || at_sec detail, null::double cluster_confidence, null::bigint size, null::double threshold from two_places
+            union all select case_id, cluster_id, 'low_confidence', cluster_id || ' has confidence ' || {decimals('cluster_confidence', 3)}, round(cluster_confidence, 4), null, null from conf where cluster_confidence < 0.55
+            union all select case_id, cluster_id, 'oversized_cluster', cluster_id || ' has ' || size || ' members', null, size, round(threshold, 1) from big""",
+        "results": """
+            select case_id, case when coalesce(d, 0) > 0 then 'awaiting_human_validation' else 'success' end status, coalesce(entity_count, 0) entity_count, coalesce(d, 0) conflicts_detected, coalesce(canonical_entities, '') canonical_entities, coalesce(clusters, '') clusters
+            from (select distinct case_id from obs)
+            left join (select case_id, count(*) entity_count, array_to_string(list(entity_id || ':' || primary_alias || ':' || total_mentions || ':' || round(confidence_score * 10000)::bigint || ':' || sources order by cluster_id), ';') canonical_entities from entities group by 1) using (case_id)
+            left join (select case_id, array_to_string(list(cluster_id || ':' || size || ':' || sorted_aliases || ':' || coalesce(edges, '') order by cluster_id), ';') clusters from conf join named using (case_id, cluster_id) left join edge_lists using (case_id, cluster_id) group by 1) using (case_id)
+            left join (select case_id, count(*) d from conflicts group by 1) using (case_id)""",
+    }
+
+
 PAIRS = f"""
     select *, least(obs_id_a, obs_id_b) obs_id_1, greatest(obs_id_a, obs_id_b) obs_id_2 from (
         select a.case_id, {_sides()} from obs a join obs b on a.case_id = b.case_id and a.ord < b.ord)
     where {SAME_PLACE} or {GAP} <= 300 or ({CROSS} and {SAME_ROLE} and {GAP} <= 3600)"""
 
 
-def chain(kind: str = "conv", upto: str = "obs") -> str:
-    """WITH ... of all tables as far as `upto`."""
-    steps = {f"raw_{kind}": CHAIN[f"raw_{kind}"], **_stages(kind), "pairs": PAIRS, **_ratios(), **_features(), **_clusters()}
+#: Tables that are read more than once.
+MATERIALIZED = {"obs", "pairs", "edges", "set_ratio", "lex", "parts", "clusters", "members", "mentions", "conf", "hits", "touched", "entities", *(f"lcs{i}_{t}" for i in (1, 2) for t in "cw")}
+
+
+def chain(kind: str = "conv", upto: str = "obs", attachment: float = 0.7) -> str:
+    """WITH ... of all tables as far as `upto`; attachment: the least weight at which a single observation moves."""
+    steps = {f"raw_{kind}": CHAIN[f"raw_{kind}"], **_stages(kind), "pairs": PAIRS, **_ratios(), **_features(), **_clusters(), **_fold(attachment), **_entities()}
     names = list(steps)
     keep = names[: names.index(upto) + 1]
-    return "with recursive " + ",\n".join(f"{n} as {'materialized ' if n in ('obs', 'pairs', 'edges', 'set_ratio', 'lex', 'parts') else ''}({steps[n]})" for n in keep)
+    return "with recursive " + ",\n".join(f"{n} as {'materialized ' if n in MATERIALIZED else ''}({steps[n]})" for n in keep)

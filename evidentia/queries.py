@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia import config as C
@@ -15,6 +15,7 @@ from evidentia.operators import blocking, clusters, entities, intake, scoring
 from evidentia.operators.entities import Resolution
 from evidentia.oracle import _folded, _norm, chain
 from evidentia.synth import dims, generate
+from evidentia.synth.dims import NoiseConfig
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -195,9 +196,9 @@ def edge_reasons(spark, sf):
 # ---- clusters ---------------------------------------------------------------------------------------------------------------
 
 
-@_query(chain("conv", "edges") + "select case_id, obs_id_1, obs_id_2, max(round(weight, 9)) weight, count(*) support from edges where classification in ('confirmed', 'likely') group by 1, 2, 3")
+@_query(chain("conv", "edges") + "select case_id, obs_id_1, obs_id_2, max(round(weight, 9)) weight, count(*) support from edges where classification = 'confirmed' group by 1, 2, 3")
 def confirmed_graph(spark, sf):
-    return _edges(spark, sf).where("classification in ('confirmed', 'likely')").groupBy(*KEY).agg(F.max(F.round("weight", 9)).alias("weight"), F.count("*").alias("support"))
+    return _edges(spark, sf).where("classification = 'confirmed'").groupBy(*KEY).agg(F.max(F.round("weight", 9)).alias("weight"), F.count("*").alias("support"))
 
 
 @_query(chain("conv", "edges") + "select case_id, obs_id_1, obs_id_2 from edges where merges")
@@ -223,95 +224,94 @@ def cluster_numbering(spark, sf):
     return Resolution(adapted(spark, sf)).clusters
 
 
-_CONF = """, inside as (select e.case_id, c1.cluster_id, sum((confidence_a + confidence_b) / 2.0::double) tw, sum((confidence_a + confidence_b) / 2.0::double * weight) ws
-        from edges e join clusters c1 on c1.case_id = e.case_id and c1.obs_id = obs_id_1 join clusters c2 on c2.case_id = e.case_id and c2.obs_id = obs_id_2
-        where classification = 'confirmed' and c1.cluster_id = c2.cluster_id group by 1, 2),
-    conf as (select c.case_id, c.cluster_id, count(*) size, case when count(*) > 1 and coalesce(any_value(tw), 0) > 0 then any_value(ws) / any_value(tw) else avg(confidence) end cluster_confidence
-        from clusters c join obs using (case_id, obs_id) left join inside i on i.case_id = c.case_id and i.cluster_id = c.cluster_id group by 1, 2)"""
+@_query(chain("conv", "members") + "select case_id, cluster_id, obs_id, member_ord from members")
+def attachment(spark, sf):
+    """Clusters after the ordered fold."""
+    return Resolution(adapted(spark, sf)).members
 
 
-@_query(chain("conv", "clusters") + _CONF + "select case_id, cluster_id, size, round(cluster_confidence, 6) cluster_confidence from conf")
-def cluster_confidence(spark, sf):
+@_query(chain("conv", "members", 0.52) + "select case_id, cluster_id, obs_id, member_ord from members")
+def attachment_at_low_weights(spark, sf):
+    """The fold where single observations move from a weight of 0.52 on, so that many do."""
+    return Resolution(adapted(spark, sf), ErConfig(attachment_threshold=0.52)).members
+
+
+@_query(chain("conv", "mentioned") + "select case_id, cluster_id, candidate_mentions from mentioned")
+def candidate_mentions(spark, sf):
     r = Resolution(adapted(spark, sf))
-    return clusters.confidence(r.clusters, r.obs, r.edges).withColumn("cluster_confidence", F.round("cluster_confidence", 6))
+    return entities.candidate_mentions(r.members, r.mentions).withColumn("candidate_mentions", _mentions("candidate_mentions"))
+
 
+def _mentions(c: str) -> Column:
+    return F.array_join(F.transform(c, lambda m: F.concat_ws(":", m["candidate_alias"], F.round(m["score"] * 10000).cast("long"), F.array_join(m["reasons"], "+"))), "|")
 
-@_query(chain("event", "obs") + f""", placed as (select case_id, 'C' || entity_norm cluster_id, time_offset_sec, {_folded('location')} loc from obs)
+
+@_query(chain("conv", "conf") + "select case_id, cluster_id, size, round(cluster_confidence, 6) cluster_confidence from conf")
+def cluster_confidence(spark, sf):
+    return Resolution(adapted(spark, sf)).confidence.withColumn("cluster_confidence", F.round("cluster_confidence", 6))
+
+
+@_query(chain("event", "obs") + f""", placed as (select case_id, 'C' || role cluster_id, time_offset_sec, {_folded('location')} loc from obs)
     select case_id, cluster_id, min(time_offset_sec) at_sec from (select case_id, cluster_id, time_offset_sec from placed where loc <> '' group by 1, 2, 3 having count(distinct loc) > 1) group by 1, 2""")
 def conflict_physical(spark, sf):
-    """Over clusters that are one alias each, of whole days of events."""
+    """Over clusters that are one role each, of whole days of events, which are in several places at once."""
     o = _obs(spark, sf, "event")
-    return clusters.physical_impossibilities(o.select("case_id", F.concat(F.lit("C"), "entity_norm").alias("cluster_id"), "obs_id"), o)
+    return clusters.physical_impossibilities(o.select("case_id", F.concat(F.lit("C"), "role").alias("cluster_id"), "obs_id"), o)
 
 
-@_query(chain("conv", "clusters") + _CONF + "select case_id, cluster_id, round(cluster_confidence, 4) cluster_confidence from conf where cluster_confidence < 0.55")
+@_query(chain("conv", "conf") + "select case_id, cluster_id, round(cluster_confidence, 4) cluster_confidence from conf where cluster_confidence < 0.55")
 def conflict_low_conf(spark, sf):
     r = Resolution(adapted(spark, sf))
     return r.conflicts.where("type = 'low_confidence'").select("case_id", "cluster_id", "cluster_confidence")
 
 
-@_query(chain("event", "obs") + """, sizes as (select case_id, entity_norm cluster_id, count(*) size from obs group by 1, 2), per as (select case_id, avg(size) m, stddev_pop(size) s, count(*) k from sizes group by 1)
-    select case_id, cluster_id, size, round(m + 1.5 * case when k >= 2 then s else 1.0 end, 6) threshold from sizes join per using (case_id) where size > m + 1.5 * case when k >= 2 then s else 1.0 end""")
+@_query(chain("event", "obs") + f""", sizes as (select case_id, case when ord % 3 = 0 then entity_norm else 'most' end cluster_id, count(*) size from obs group by 1, 2), per as (select case_id, avg(size) m, stddev_pop(size) s, count(*) k from sizes group by 1)
+    select case_id, cluster_id, size, round(m + {CFG.oversized_cluster_factor} * case when k >= 2 then s else 1.0 end, 6) threshold from sizes join per using (case_id) where size > m + {CFG.oversized_cluster_factor} * case when k >= 2 then s else 1.0 end""")
 def conflict_oversized(spark, sf):
-    """Over clusters that are one alias each, with a factor of 1.5."""
-    sizes = _obs(spark, sf, "event").groupBy("case_id", F.col("entity_norm").alias("cluster_id")).agg(F.count("*").alias("size"))
-    return clusters.oversized(sizes, 1.5).withColumn("threshold", F.round("threshold", 6))
+    """Over clusters of whole days of events: one of two thirds of the rows, and one for each alias of the others."""
+    sizes = _obs(spark, sf, "event").groupBy("case_id", F.expr("case when ord % 3 = 0 then entity_norm else 'most' end").alias("cluster_id")).agg(F.count("*").alias("size"))
+    return clusters.oversized(sizes, CFG.oversized_cluster_factor).withColumn("threshold", F.round("threshold", 6))
 
 
-@_query()
-def attachment(spark, sf):
-    """Clusters after the ordered fold; SQL has no such fold."""
-    return Resolution(adapted(spark, sf, "turns")).members
-
-
-@_query()
-def candidate_mentions(spark, sf):
-    r = Resolution(adapted(spark, sf, "turns"))
-    return entities.candidate_mentions(r.members, r.mentions)
+# ---- entities: over members, after the fold; lists are joined, so that they compare -------------------------------------------------
 
 
-# ---- entities: over clusters as numbered, before the fold, so that SQL can say them -----------------------------------------------
+def _joined(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({c: F.concat_ws("|", c) for c in names})
 
 
-@_query(chain("conv", "clusters") + """, seen as (select case_id, cluster_id, entity, count(*) n, min(member_ord) f from clusters join obs using (case_id, obs_id) group by 1, 2, 3)
-    select case_id, cluster_id, array_to_string(list(entity order by f), '|') aliases, first(entity order by n desc, f) primary_alias from seen group by 1, 2""")
+@_query(chain("conv", "named") + "select case_id, cluster_id, aliases, primary_alias from named")
 def primary_alias(spark, sf):
     r = Resolution(adapted(spark, sf))
-    return entities.aliases(r.clusters, r.obs).withColumn("aliases", F.concat_ws("|", "aliases"))
+    return _joined(entities.aliases(r.members, r.obs), "aliases")
 
 
-@_query(chain("conv", "clusters") + """select case_id, cluster_id, count(*) total_mentions, array_to_string(list_sort(list(distinct modality)), '|') modalities,
-    array_to_string(list_sort(coalesce(list(distinct location) filter (location <> ''), [])), '|') locations, array_to_string(list_sort(list(distinct role)), '|') roles, array_to_string(list_sort(list(distinct obs_id)), '|') sources,
-    coalesce(strftime(make_timestamp(cast(min(case when ts_epoch > 0 then ts_epoch end) * 1000000 as bigint)), '%Y-%m-%dT%H:%M:%SZ'), '') earliest_timestamp,
-    coalesce(strftime(make_timestamp(cast(max(case when ts_epoch > 0 then ts_epoch end) * 1000000 as bigint)), '%Y-%m-%dT%H:%M:%SZ'), '') latest_timestamp,
-    coalesce(cast(max(case when ts_epoch > 0 then ts_epoch end) - min(case when ts_epoch > 0 then ts_epoch end) as bigint), 0) time_span_seconds from clusters join obs using (case_id, obs_id) group by 1, 2""")
+@_query(chain("conv", "rolled") + "select * from rolled")
 def entity_rollup(spark, sf):
     r = Resolution(adapted(spark, sf))
-    out = entities.rollup(r.clusters, r.obs)
-    return out.withColumns({c: F.concat_ws("|", c) for c in ("modalities", "locations", "roles", "sources")})
+    return _joined(entities.rollup(r.members, r.obs), "modalities", "locations", "roles", "sources")
 
 
-_TOUCH = """, ends as (select *, obs_id_1 obs_id from edges union all select *, obs_id_2 from edges),
-    touched as (select distinct c.case_id, c.cluster_id, e.obs_id_1, e.obs_id_2, e.classification, round(e.weight, 4) weight from ends e join clusters c on c.case_id = e.case_id and c.obs_id = e.obs_id)"""
+@_query(chain("conv", "counted") + "select case_id, cluster_id, confirmed_edges, candidate_edges, coalesce(confirmed_mentions, '') confirmed_mentions from counted")
+def entity_edge_counts(spark, sf):
+    return _joined(entities.edge_counts(Resolution(adapted(spark, sf)).touched), "confirmed_mentions")
 
 
-@_query(chain("conv", "clusters") + _TOUCH + "select case_id, cluster_id, count_if(classification = 'confirmed') confirmed_edges, count_if(classification in ('likely', 'possible')) candidate_edges from touched group by 1, 2")
-def entity_edge_counts(spark, sf):
-    r = Resolution(adapted(spark, sf))
-    return entities.edge_counts(entities.touching(r.clusters, r.edges)).select("case_id", "cluster_id", "confirmed_edges", "candidate_edges")
+def _edge_text(e: Column) -> Column:
+    return F.concat(e["alias_1"], F.lit("~"), e["alias_2"], F.lit(":"), F.round(e["weight"] * 10000).cast("long"), F.lit(":"), F.array_join(e["reasons"], "+"))
 
 
-@_query(chain("conv", "clusters") + _TOUCH + """, sizing as (select case_id, cluster_id, count(*) size from clusters group by 1, 2)
-    select case_id, cluster_id, any_value(size) size, count(obs_id_1) n_edges, count_if(classification = 'rejected') n_rejected, count_if(classification in ('likely', 'possible')) n_candidate from sizing left join touched using (case_id, cluster_id) group by 1, 2""")
+@_query(chain("conv", "edge_lists") + """select case_id, cluster_id, size, sorted_aliases aliases, sources obs_ids, coalesce(n_edges, 0) n_edges, coalesce(n_rejected, 0) n_rejected, coalesce(n_candidate, 0) n_candidate, coalesce(edges, '') edges
+    from conf join named using (case_id, cluster_id) join rolled using (case_id, cluster_id) left join edge_lists using (case_id, cluster_id)""")
 def cluster_edges(spark, sf):
-    r = Resolution(adapted(spark, sf))
-    docs = entities.cluster_documents(r.clusters, r.obs, entities.touching(r.clusters, r.edges))
-    return docs.select("case_id", "cluster_id", "size", F.size("edges").cast("long").alias("n_edges"), F.size(F.filter("edges", lambda e: e["classifications"]["rejected"] == 1)).cast("long").alias("n_rejected"), F.size(F.filter("edges", lambda e: e["classifications"]["candidate"] == 1)).cast("long").alias("n_candidate"))
+    docs = Resolution(adapted(spark, sf)).cluster_documents()
+    count = lambda c: F.size(F.filter("edges", lambda e: e["classifications"][c] == 1)).cast("long").alias(f"n_{c}")
+    return _joined(docs, "aliases", "obs_ids").select("case_id", "cluster_id", "size", "aliases", "obs_ids", F.size("edges").cast("long").alias("n_edges"), count("rejected"), count("candidate"), F.array_join(F.transform("edges", _edge_text), "|").alias("edges"))
 
 
-@_query(chain("conv", "clusters") + "select case_id, cluster_id, 'entity_' || row_number() over (partition by case_id order by cluster_id) entity_id from (select distinct case_id, cluster_id from clusters)")
+@_query(chain("conv", "entities") + "select case_id, cluster_id, entity_id from entities")
 def entity_numbering(spark, sf):
-    return entities.numbered(Resolution(adapted(spark, sf)).clusters)
+    return entities.numbered(Resolution(adapted(spark, sf)).members)
 
 
 @_query(chain("conv", "edges") + "select classification, count(*) n_pairs, count_if(merges) n_merging, round(avg(weight), 6) mean_weight from edges group by 1")
@@ -319,30 +319,39 @@ def er_summary(spark, sf):
     return _edges(spark, sf).groupBy("classification").agg(F.count("*").alias("n_pairs"), F.count_if("merges").alias("n_merging"), F.round(F.avg("weight"), 6).alias("mean_weight"))
 
 
-@_query()
+@_query(chain("conv", "entities") + "select * from entities")
 def er_entities(spark, sf):
     """The flagship: canonical entities of every conversation."""
-    return Resolution(adapted(spark, sf, "turns")).entities()
+    out = Resolution(adapted(spark, sf)).entities().withColumn("candidate_mentions", _mentions("candidate_mentions"))
+    return _joined(out, "aliases", "confirmed_mentions", "modalities", "locations", "roles", "sources")
 
 
-@_query()
+def _document(docs: DataFrame) -> DataFrame:
+    """Result documents with their nested parts as text."""
+    entity = lambda e: F.concat_ws(":", e["entity_id"], e["primary_alias"], e["total_mentions"], F.round(e["confidence_score"] * 10000).cast("long"), F.array_join(e["sources"], "|"))
+    cluster = lambda c: F.concat_ws(":", c["cluster_id"], c["size"], F.array_join(c["aliases"], "|"), F.array_join(F.transform(c["edges"], _edge_text), "|"))
+    return docs.withColumn("canonical_entities", F.coalesce(F.array_join(F.transform("canonical_entities", entity), ";"), F.lit(""))).withColumn("clusters", F.coalesce(F.array_join(F.transform("clusters", cluster), ";"), F.lit("")))
+
+
+@_query(chain("conv", "results") + "select case_id, status, null::varchar error_message, entity_count, conflicts_detected, canonical_entities, clusters from results")
 def er_documents(spark, sf):
-    return Resolution(adapted(spark, sf, "turns")).documents().drop("created_at")
+    return _document(Resolution(adapted(spark, sf)).documents()).drop("created_at", "configuration")
 
 
-@_query()
+@_query(chain("conv", "conflicts") + "select * from conflicts")
 def er_conflicts(spark, sf):
-    return Resolution(adapted(spark, sf, "turns")).conflicts
+    return Resolution(adapted(spark, sf)).conflicts
 
 
-@_query()
+@_query(chain("conv", "results") + "select case_id, canonical_entities, clusters, conflicts_detected from results")
 def timeline_payload(spark, sf):
-    return Resolution(adapted(spark, sf, "turns")).timeline()
+    return _document(Resolution(adapted(spark, sf)).timeline())
 
 
 # ---- generator: over cases made from a seed, so the tables play no part ------------------------------------------------------------
 
 N_CASES = 200
+NOISE = NoiseConfig()
 
 
 def _values(rows: list[tuple], names: str) -> str:
@@ -399,7 +408,16 @@ def _clean(spark: SparkSession) -> DataFrame:
     return generate.clean_observations(case, generate.entities(case), generate.timeline(case))
 
 
-@_query()
+_ROLES = f"""{_CASES}, needs as (select domain, template, max(case when role = 'suspect' then role_index + 1 end) s, max(case when role = 'witness' then role_index + 1 end) w from {_SLOTS} group by 1, 2),
+    counts as (select c.*, greatest(1 + floor({_u('suspects')} * 3)::bigint, coalesce(s, 0)) ns, greatest(1 + floor({_u('witnesses')} * 2)::bigint, coalesce(w, 0)) nw from cases c join needs using (domain, template)),
+    people as (select case_no, e entity_no, case when e < ns then 'suspect' else 'witness' end as role, case when e < ns then e else e - ns end role_index from counts, unnest(range(ns + nw)) t(e)),
+    drawn as (select p.*, modality, p, {_u('modality', "entity_no || '|' || modality")} < p hit from people p join {_values([(r, m, w) for (r, m), w in dims.WEIGHTS.items()], 'role, modality, p')} on t.role = p.role),
+    shown as (select * from (select *, bool_or(hit) over (partition by case_no, entity_no) some_hit, row_number() over (partition by case_no, entity_no order by p desc, modality desc) best from drawn) where hit or (not some_hit and best = 1)),
+    happened as (select case_no, role, role_index from cases c join {_SLOTS} on t.domain = c.domain and t.template = c.template where required or {_u('skip', 'slot_ord')} >= 0.30),
+    sizes as (select case_no, count(*) n, floor(count(*) * {NOISE.missing_modality_rate}::double)::bigint n_missing from happened join shown using (case_no, role, role_index) group by 1)"""
+
+
+@_query(_ROLES + f" select case_no, n, n_missing, least(n - n_missing, greatest(1, round_even(n * {NOISE.contradiction_rate}::double, 0)::bigint)) n_contradicted from sizes")
 def noise_sampling(spark, sf):
     return generate.sampled(_clean(spark)).groupBy("case_no").agg(F.count("*").alias("n"), F.count_if("missing").alias("n_missing"), F.count_if("contradicted").alias("n_contradicted"))
 
@@ -414,7 +432,7 @@ def obs_only_projection(spark, sf):
     return generate.observations_only(generate.case_documents(spark, N_CASES)).select("case_id", F.to_json("observations").alias("observations"))
 
 
-@_query()
+@_query(_ROLES + " select 'CASE_' || upper(substring(replace(domain, '_', ''), 1, 3)) || '_' || lpad(case_no::varchar, 3, '0') case_id, n - n_missing n_observations, '' errors from sizes join cases using (case_no)")
 def case_validation(spark, sf):
     """Case documents with something wrong: none, as every case is whole by construction."""
     return generate.validated(generate.case_documents(spark, N_CASES)).select("case_id", F.size("observations").alias("n_observations"), F.concat_ws("; ", "errors").alias("errors"))

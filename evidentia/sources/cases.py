@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from evidentia.operators.intake import flatten
 from evidentia.schema import CASE
@@ -26,3 +27,9 @@ def write_observations_only(docs: DataFrame, path: str) -> None:
 
 def write_results(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").json(path)
+
+
+def print_cases(docs: DataFrame, most: int = 20) -> None:
+    """The first `most` documents on the console, as indented JSON."""
+    for r in docs.select(F.to_json(F.struct(*docs.columns), {"pretty": "true"})).take(most):
+        print(r[0])

@@ -25,9 +25,13 @@ def counts_by_window(rows: DataFrame, width: str = "5 minutes") -> DataFrame:
 
 
 def resolve_stream(raw: DataFrame, sink: Callable[[DataFrame, int], None], cfg: ErConfig | None = None, **options):
-    """A streaming query that resolves the cases of each micro-batch and hands their entities to the sink."""
+    """A streaming query that resolves the cases of each micro-batch and hands their entities to the sink, which must read them before it returns. A case is resolved within its batch."""
 
     def each(batch: DataFrame, number: int) -> None:
-        sink(Resolution(batch, cfg).entities(), number)
+        r = Resolution(batch, cfg)
+        try:
+            sink(r.entities(), number)
+        finally:
+            r.close()
 
     return raw.writeStream.foreachBatch(each).options(**options).start()

@@ -133,6 +133,12 @@ def clean_observations(case: DataFrame, ents: DataFrame, events: DataFrame) -> D
     )
 
 
+def inferred_action(content: Column) -> Column:
+    """The action of the first keyword, in order, that a content holds."""
+    low = F.lower(content)
+    return F.coalesce(*(F.when(low.contains(word), F.lit(action)) for word, action in dims.KEYWORD_ACTIONS), F.lit(dims.NO_ACTION))
+
+
 def sampled(obs: DataFrame, cfg: NoiseConfig = NoiseConfig()) -> DataFrame:  # noqa: B008
     """Marks rows as missing (a fifth, rounded down) and, among the others, as contradictions (at least one), by ranks of draws."""
     w = Window.partitionBy("case_no")
@@ -145,8 +151,13 @@ def sampled(obs: DataFrame, cfg: NoiseConfig = NoiseConfig()) -> DataFrame:  # n
 
 
 def noisy(obs: DataFrame, cfg: NoiseConfig = NoiseConfig()) -> DataFrame:  # noqa: B008
-    """Missing rows gone; contradictions, shifted times and reworded contents applied in that order, with tags; the true entity hidden."""
+    """Missing rows gone; contradictions, shifted times and reworded contents applied in that order, with tags; the true entity hidden.
+
+    Observations without an action column, or without an action, get the one their content tells of.
+    """
     spark = obs.sparkSession
+    told = inferred_action(F.col("content"))
+    obs = obs.withColumn("action", F.coalesce("action", told) if "action" in obs.columns else told)
     rows = sampled(obs, cfg).where("not missing").join(_phrase(spark, "denial", "denials"), "action", "left")
     for kind in ("video_quality", "text_integrity", "qualifier"):
         rows = rows.crossJoin(F.broadcast(dims.dim_phrase(spark).where(F.col("kind") == kind).select(F.col("pool").alias(kind))))  # one constant row
@@ -158,8 +169,12 @@ def noisy(obs: DataFrame, cfg: NoiseConfig = NoiseConfig()) -> DataFrame:  # noq
     lo = F.greatest(F.lit(cfg.temporal_noise_min_sec), F.floor(F.col("window") * 0.005))
     hi = F.least(F.lit(3600), F.greatest(F.lit(cfg.temporal_noise_max_sec), F.floor(F.col("window") * 0.03)))
     shift = F.when(draw("shift?", "n") < cfg.temporal_noise_rate, between(draw("shift", "n"), lo, hi) * F.when(draw("sign", "n") < 0.5, -1).otherwise(1))
-    vary = (draw("vary?", "n") < cfg.semantic_variation_rate) & ~F.col("contradicted") & (F.col("modality") == "video")
-    reworded = F.concat(F.rtrim("content", F.lit(".")), choice(draw("vary", "n"), F.col("qualifier")), F.lit("."))
+    bank = dims.dim_phrase(spark).where("kind = 'variant'").select(F.col("action").alias("content"), F.col("pool").alias("variants"))
+    rows = rows.join(F.broadcast(bank), "content", "left")
+    qualified = F.when(F.col("modality") == "video", F.concat(F.rtrim("content", F.lit(".")), choice(draw("vary", "n"), F.col("qualifier")), F.lit(".")))
+    reworded = F.coalesce(choice(draw("vary", "n"), F.col("variants")), qualified)
+    vary = (draw("vary?", "n") < cfg.semantic_variation_rate) & ~F.col("contradicted") & (reworded != F.col("content"))
+    vary = F.coalesce(vary, F.lit(False))
     tags = F.array_compact(F.array(F.when(F.col("contradicted"), "contradiction"), F.when(shift.isNotNull(), "temporal_noise"), F.when(vary, "semantic_variation")))
     moved = F.date_format(F.col("when") + F.make_dt_interval(secs=F.coalesce(shift, F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss")
     return rows.select(
@@ -199,7 +214,11 @@ def validated(docs: DataFrame) -> DataFrame:
     rows = [lacks(F.size(F.array_compact(obs[c])) < F.size(obs), f"an observation has no {c}") for c in ("obs_id", "entity", "role", "modality", "content", "timestamp", "confidence")]
     count = lambda r: F.size(F.filter(truth["entities"], lambda e: e["role"] == r))
     ids = F.transform(truth["entities"], lambda e: e["entity_id"])
+    least = F.create_map(*(F.lit(x) for (d, t), slots in dims.SLOTS.items() for r in ("suspect", "witness") for x in (f"{d}|{t}|{r}", max((s[2] + 1 for s in slots if s[1] == r and s[2] is not None), default=0))))
+    need = lambda r: F.coalesce(F.element_at(least, F.concat_ws("|", "domain", "template", F.lit(r))), F.lit(0))
     checks = [
+        lacks(count("suspect") < need("suspect"), "fewer suspects than the template needs"),
+        lacks(count("witness") < need("witness"), "fewer witnesses than the template needs"),
         lacks(F.size(truth["events"]) == 0, "no events"),
         lacks(F.exists(truth["events"], lambda e: ~F.array_contains(ids, e["entity_id"])), "an event names no entity"),
         lacks(count("suspect") != F.col("fir.roles.suspect"), "suspects differ from the report"),
@@ -208,3 +227,10 @@ def validated(docs: DataFrame) -> DataFrame:
         lacks(F.size(truth["entity_mapping"]) == 0, "no mapping"),
     ]
     return docs.withColumn("errors", F.array_compact(F.array(*none, *rows, *checks)))
+
+
+def checked(docs: DataFrame) -> DataFrame:
+    """The documents; the query that reads them fails at the first one with something wrong."""
+    errors = F.col("errors")
+    fail = F.raise_error(F.concat(F.lit("case "), F.coalesce("case_id", F.lit("without id")), F.lit(": "), F.array_join(errors, ", ")))
+    return validated(docs).withColumn("case_id", F.when(F.size(errors) > 0, fail.cast("string")).otherwise(F.col("case_id"))).drop("errors")

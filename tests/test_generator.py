@@ -90,3 +90,59 @@ def test_command_line(spark, tmp_path):
     assert cli.main(["generate", "--batch", "3", "--validate", "--output", str(tmp_path / "g")]) == 0
     assert cli.main(["resolve", "--input", str(tmp_path / "g/observations"), "--output", str(tmp_path / "r")]) == 0
     assert spark.read.json(str(tmp_path / "r")).count() == 3
+
+
+def test_variants_and_inferred_actions(spark):
+    bank = {a: pool for kind, a, pool in dims.phrases() if kind == "variant"}
+    sentences = {x for kind, _, pool in dims.phrases() if kind in generate.MODALITIES for x in pool}
+    assert set(bank) <= sentences and len(bank) == 3 * len({s[3] for slots in dims.SLOTS.values() for s in slots})
+    case = generate.cases(spark, 60)
+    clean = generate.clean_observations(case, generate.entities(case), generate.timeline(case))
+    rows = generate.noisy(clean).join(clean.select("case_no", "n", F.col("content").alias("was")), ["case_no", "n"]).collect()
+    varied = [r for r in rows if "semantic_variation" in r.noise_tags]
+    assert {r.modality for r in varied} == {"video", "audio", "text"}
+    assert all(r.content in bank[r.was] if r.was in bank else r.modality == "video" and r.content.startswith(r.was[:-1]) for r in varied)
+    texts = [("He ENTERed, then ran", "enter_atm"), ("transfer files", "steal_data"), ("files", "steal_items"), ("run", "flee_scene"), ("", "unknown_action"), (None, "unknown_action")]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t, _ in texts], "content string").select(generate.inferred_action(F.col("content"))).collect()]
+    assert got == [a for _, a in texts]
+    told = {r.obs_id for r in generate.noisy(clean.drop("action")).collect()}
+    assert told == {r.obs_id for r in rows}
+    assert all(len(set(dims.descriptions(d, t))) == 12 for d, t in dims.SLOTS)
+
+
+def test_strict_validation(spark, docs):
+    assert generate.checked(docs).count() == 80
+    bad = docs.limit(1).withColumn("ground_truth", F.col("ground_truth").withField("entities", F.slice("ground_truth.entities", 1, 1)))
+    found = generate.validated(bad).first().errors
+    assert "fewer witnesses than the template needs" in found and "witnesses differ from the report" in found
+    with pytest.raises(Exception, match="fewer witnesses"):
+        generate.checked(bad).collect()
+
+
+def test_enrichment_of_whole_cases(spark, docs):
+    two = docs.limit(2).cache()
+    kept = enrich.enrich_cases(two, lambda ask: "no JSON")
+    assert [r.fir.enriched for r in kept.collect()] == [False, False]
+    same = lambda df: sorted(r[0] for r in df.select(F.to_json(F.struct("case_id", "observations", "ground_truth"))).collect())
+    assert same(kept) == same(two)
+
+    def service(ask):
+        import json
+
+        seen = json.loads(ask)
+        return "```json" + json.dumps({"fir": {"description": "told anew", "location": " "}, "observations": [{"obs_id": seen["observations"][0]["obs_id"], "content": "other words", "source": ""}, {"obs_id": "none"}]}) + "```"
+
+    for old, new in zip(sorted(two.collect(), key=lambda r: r.case_id), sorted(enrich.enrich_cases(two, service).collect(), key=lambda r: r.case_id), strict=True):
+        assert new.fir.enriched and new.fir.description == "told anew" and new.fir.location == old.fir.location
+        first, *rest = new.observations
+        assert first.content == "other words" and first.source == old.observations[0].source and first.obs_id == old.observations[0].obs_id
+        assert [tuple(o) for o in rest] == [tuple(o) for o in old.observations[1:]] and new.ground_truth == old.ground_truth
+
+
+def test_printed_cases(spark, docs, capsys, tmp_path):
+    assert cli.main(["generate", "--batch", "2", "--domain", "Communication"]) == 0
+    out = capsys.readouterr().out
+    assert out.count('"case_id"') == 2 and '\n  "domain"' in out
+    (tmp_path / "evidentia_test_service.py").write_text("def quiet(ask):\n    raise OSError\n")
+    spark.sparkContext.addPyFile(str(tmp_path / "evidentia_test_service.py"))
+    assert cli.main(["generate", "--enrich", "evidentia_test_service:quiet", "--output", str(tmp_path / "g")]) == 0

@@ -1,4 +1,5 @@
 import json
+import random
 from unittest.mock import MagicMock
 
 import pytest
@@ -151,16 +152,77 @@ def test_streaming(spark, tmp_path):
     assert sum(seen) == 4
 
 
-def test_queries_without_sql_read_whole_turns(spark, tmp_path, monkeypatch):
+def test_queries_read_whole_turns(spark, tmp_path, monkeypatch):
     start = " ".join(f"w{i}" for i in range(60))
     turns = [(0, 0, "user", start + " entered the booth"), (0, 1, "user", start + " entered the server")]
     spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    whole = {r.obs_id: r.content for r in adapters.adapted(spark, str(tmp_path), "turns").collect()}
-    assert whole == {"O0": turns[0][3], "O1": turns[1][3]}
-    ratio = scoring.with_ratios(blocking.candidates(intake.observations(adapters.adapted(spark, str(tmp_path), "turns")), ErConfig())).select("content_ratio").collect()
-    assert [round(r[0], 9) for r in ratio] == [round(token_set_ratio(turns[0][3], turns[1][3]), 9)] != [1.0]
+    whole = {r.obs_id: r.content for r in adapters.adapted(spark, str(tmp_path)).collect()}
+    assert whole == {"O0": turns[0][3], "O1": turns[1][3], "R0": turns[0][3]}
+    ratio = scoring.with_ratios(blocking.candidates(intake.observations(adapters.adapted(spark, str(tmp_path))), ErConfig())).where("obs_id_1 = 'O0' and obs_id_2 = 'O1'").select("content_ratio", "context_ratio").collect()
+    assert [round(r[0], 9) for r in ratio] == [round(token_set_ratio(turns[0][3], turns[1][3]), 9)] != [1.0] and ratio[0][1] == 1.0  # the first 120 characters are equal
     read = []
-    monkeypatch.setattr(queries, "Resolution", lambda raw: read.append(raw) or MagicMock())
+    monkeypatch.setattr(queries, "Resolution", lambda raw, cfg=None: read.append(raw) or MagicMock())
     for name in ("attachment", "er_entities", "er_documents", "er_conflicts", "timeline_payload"):
         queries.QUERIES[name](spark, str(tmp_path))
     assert all({r.content for r in raw.collect()} == set(whole.values()) for raw in read) and len(read) == 5
+
+
+def fold(members, edges, least):
+    """The attachment rule, literally: (case, cluster) -> members in order, and mentions."""
+    of = {m: c for c, ms in members.items() for m in ms}
+    mentions = []
+    for one, two, a1, a2, w in sorted(edges):
+        single = [len(members[of[one]]) == 1, len(members[of[two]]) == 1]
+        for yes, x, y, ax, ay in ((single[0], one, two, a1, a2), (single[1], two, one, a2, a1)):
+            if yes and w >= least:
+                members[of[y]].append(x)
+                members[of[x]].remove(x)
+                of[x] = of[y]
+            elif yes:
+                mentions += [(x, ay, round(w, 4)), (y, ax, round(w, 4))]
+    return {(c, i + 1, m) for c, ms in members.items() for i, m in enumerate(ms)}, mentions
+
+
+def test_attachment_against_a_literal_fold(spark):
+    rng = random.Random(3)
+    members, edges, want = [], [], {}
+    for case in range(60):
+        ids = [f"o{i}" for i in range(rng.randint(2, 12))]
+        groups = {}
+        for i in ids:
+            groups.setdefault(f"C{rng.randint(1, len(ids))}", []).append(i)
+        pairs = [(a, b, f"A{a}", f"A{b}", rng.choice([0.5, 0.69, 0.7, 0.75])) for i, a in enumerate(ids) for b in ids[:i] if rng.random() < 0.4]
+        pairs = [(*sorted(p[:2]), *p[2:]) for p in pairs]
+        members += [(str(case), c, m, i + 1) for c, ms in groups.items() for i, m in enumerate(ms)]
+        edges += [(str(case), *p, "likely" if p[4] > 0.65 else "possible", ["r"]) for p in pairs]
+        want[str(case)] = fold({c: list(ms) for c, ms in groups.items()}, pairs, 0.7)
+    edges.append(("0", *edges[0][1:5], 0.95, "confirmed", []))
+    e = spark.createDataFrame(edges, "case_id string, obs_id_1 string, obs_id_2 string, alias_1 string, alias_2 string, weight double, classification string, reasons array<string>")
+    got, mentions = clusters.attach(spark.createDataFrame(members, clusters.CLUSTER), e, ErConfig())
+    rows, said = got.collect(), sorted(mentions.collect(), key=lambda r: r.mention_ord)
+    for case, (m, x) in want.items():
+        assert {(r.cluster_id, r.member_ord, r.obs_id) for r in rows if r.case_id == case} == m
+        assert [(r.obs_id, r.candidate_alias, r.score) for r in said if r.case_id == case] == x
+
+
+def test_failures_are_reported_and_timings_told(spark):
+    df = raw(spark, [{"obs_id": "a", "entity": "P", "content": "x"}, {"obs_id": "b", "entity": "Q", "content": "y"}])
+    cases = df.groupBy("case_id").agg(F.collect_list(F.struct(*df.columns[2:])).alias("observations"))
+
+    def broken(pairs):
+        return F.raise_error(F.lit("the scorer is down")).cast("double")
+
+    failed = resolve_entities(cases, report_failure=True, scorers={"context": broken}).collect()
+    assert [(r.case_id, r.status, r.entity_count) for r in failed] == [("K", "failed", 0)] and "the scorer is down" in failed[0].error_message
+    good = resolve_entities(cases, report_failure=True)
+    assert good.columns == list(failed[0].asDict()) and good.first().status != "failed"
+    r = Resolution(df)
+    times = r.timings()
+    doc = r.documents(times).first()
+    assert doc.stage_timings == times and doc.total_processing_time_sec == pytest.approx(sum(times.values()))
+    r.close()
+
+
+def test_scores_from_nested_and_wordy_answers():
+    assert scorers.parse_scores('Sure {not json} ```json\n{"0": 0.5, "note": {"a": 1}, "1": "2"}\n``` done {}') == {0: 0.5, 1: 1.0}
+    assert scorers.parse_scores("{") == {} and scorers.parse_scores("") == {} and scorers.parse_scores('{"0": null, "x": 1, "2": [1]}') == {}
