@@ -134,9 +134,12 @@ def fit(docs: DataFrame, per_language: int = 1000) -> Model:
     The table holds BUCKETS numbers of four bytes for each language. Rows without doc_id, lang or text are not learnt from.
     """
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.trim(F.col("lang").cast("string"))).alias("lang"), F.col("text").cast("string").alias("text")).where("doc_id is not null and lang != '' and text is not null")
-    # only the first rows of each language leave a task, so none of them has to be sorted whole
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.select("doc_id", "lang").withColumn("_n", first).where(F.col("_n") <= per_language).select("doc_id", "lang").distinct()
+    # of each language, rows whose hash is within about twice the sample's share; the least of these are the least of all, and few
+    ids = usable.select("doc_id", "lang", F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("_h"))
+    sized = attach(ids, usable.groupBy("lang").agg(F.count("*").alias("_n")), ["lang"], spread=["doc_id"])
+    few = sized.where(F.col("_h") < F.least(F.lit(1.0), 2.0 * per_language / F.col("_n")) * float(1 << 63)).select("doc_id", "lang", "_h").distinct()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))
+    chosen = few.withColumn("_r", first).where(F.col("_r") <= per_language).select("doc_id", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
