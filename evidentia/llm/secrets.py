@@ -28,6 +28,7 @@ KINDS = ("assign", "access", "hex", "crf")
 _CUES = ("passw", "secret", "token", "api")
 _KEY = re.compile(r"pass(wd|word)?$|pwd$|secret$|token$|key$|auth$|bearer$|credential", re.I | re.A)
 _TOKEN = re.compile(r"[A-Za-z0-9_+/-]+|[^A-Za-z0-9_+/-]")
+_PARTS = re.compile(r"[_+/-]")
 _KNOWN = re.compile(r"AKIA|ASIA|gh[pousr]_|sk_|pk_|xox[abp]|eyJ|glpat|AIza")
 
 
@@ -46,7 +47,7 @@ _IS_WORD = _lut(_DIGITS + _LETTERS + _LETTERS.upper() + "_+/-")
 _SHAPES = ("lower", "title", "upper", "letters", "digits", "hex", "lower+digit", "upper+digit", "mixed+digit", "joined", "symbol")
 _LENGTHS = (2, 4, 8, 12, 16, 20, 32, 64)
 _BEFORE = ("none", "key", "plain", "digit", "symbol")
-NAMES = [*(f"shape={s}" for s in _SHAPES), *(f"length<{n}" for n in (*_LENGTHS, "more")), *(f"turns={n}" for n in ("0", "1", "2-3", "4-7", "8+")), "known prefix", "few kinds of characters", "key before in chunk", "key just before chunk", "key two words before", "after =", "after :", "after quote", "after dot", "after @", "before quote", "before dot", "before @", "first in chunk", "last in chunk", "dots or @ in chunk", "word before has digit", "word after has digit", "file has keys", "file has code marks", "file is short", "bias"]
+NAMES = [*(f"shape={s}" for s in _SHAPES), *(f"length<{n}" for n in (*_LENGTHS, "more")), *(f"turns={n}" for n in ("0", "1", "2-3", "4-7", "8+")), "known prefix", "few kinds of characters", "part of 16 or more", "part mixes letters and digits", "part mixes cases", "key before in chunk", "key just before chunk", "key two words before", "after =", "after :", "after quote", "after dot", "after @", "before quote", "before dot", "before @", "first in chunk", "last in chunk", "dots or @ in chunk", "word before has digit", "word after has digit", "file has keys", "file has code marks", "file is short", "bias"]
 _AT = {n: i for i, n in enumerate(NAMES)}
 
 
@@ -75,6 +76,13 @@ def _own(t: str) -> list[int]:
     out = [_AT[f"shape={shape}"], _AT[f"length<{length}"], _AT[f"turns={turn}"], _AT["bias"]]
     if _KNOWN.match(t):
         out.append(_AT["known prefix"])
+    part = max(_PARTS.split(t), key=len)
+    if len(part) >= 16:
+        out.append(_AT["part of 16 or more"])
+    if len(part) >= 8 and any(c.isdigit() for c in part) and any(c.isalpha() for c in part):
+        out.append(_AT["part mixes letters and digits"])
+    if len(part) >= 8 and any(c.islower() for c in part) and any(c.isupper() for c in part[1:]):
+        out.append(_AT["part mixes cases"])
     if len(t) >= 12 and len(set(t)) * 3 <= len(t):
         out.append(_AT["few kinds of characters"])
     return out
