@@ -335,7 +335,7 @@ def _document(docs: DataFrame) -> DataFrame:
 
 @_query(chain("conv", "results") + "select case_id, status, null::varchar error_message, entity_count, conflicts_detected, canonical_entities, clusters from results")
 def er_documents(spark, sf):
-    return _document(Resolution(adapted(spark, sf)).documents()).drop("created_at", "configuration")
+    return _document(Resolution(adapted(spark, sf)).documents()).drop("created_at", "configuration", "total_processing_time_sec", "stage_timings")
 
 
 @_query(chain("conv", "conflicts") + "select * from conflicts")
