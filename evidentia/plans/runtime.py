@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = Path(__file__).resolve().parents[2]
 _shipped: set[str] = set()
 _staged: list[str] = []
+#: Bytes of rows that go to a Python worker at a time.
+BATCH_BYTES = 8 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -37,9 +40,18 @@ def _place(spark: SparkSession, path: str) -> tuple:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of long texts small: each is in memory several times over, in the JVM and in Python. Results don't depend on it."""
+    key, most = "spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES
+    given = re.fullmatch(r"(\d+)b?", spark.conf.get(key, None) or "")
+    if given is None or not 0 < int(given[1]) <= most:
+        spark.conf.set(key, f"{most}b")
+
+
 def staged(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df once as Parquet under the shared folder and read it back: cuts lineage and survives lost executors. It goes with unstage(), or when the driver ends."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{checkpoint_dir(spark).rstrip('/')}/evidentia/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     files, place = _place(spark, path)
