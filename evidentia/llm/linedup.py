@@ -35,6 +35,8 @@ BROADCAST_IDS = 1_000_000
 HOT, SALTS, HELD = 16, 4096, 10_000
 #: Groups of more lines are checked for many pairs at once, in numpy; smaller ones pair by pair. The links are the same.
 BULK = 32
+#: Pairs that are dealt with at a time, and characters of either side's lines that are checked at once: bounds memory where lines are long.
+BULK_PAIRS, BULK_CHARS = 20_000, 1 << 20
 INDEX, PROBE = 1, 2
 
 
@@ -153,6 +155,12 @@ def within_many(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
+def within_pairs(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray, most: int, chars: int = BULK_CHARS) -> np.ndarray:
+    """within_many() of the rows i of x and j of y, of so many characters at a time."""
+    run = max(1, chars // max(1, x.shape[1]))
+    return np.concatenate([np.zeros(0, dtype=bool), *(within_many(x[i[k : k + run]], y[j[k : k + run]], most) for k in range(0, len(i), run))])
+
+
 def lines_of(text: str, least: int) -> list[tuple[int, str]]:
     return [(i, s) for i, x in enumerate(text.split("\n")) if len(s := x.strip()) >= least]
 
@@ -290,8 +298,8 @@ def _codes(lines: list[str]) -> np.ndarray:
     return np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(lines), -1)
 
 
-def bulk_pairs(key: int, rows: list[tuple], same_tile: bool, most: int, most_pairs: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(probes, indexes, codes of either): runs of pairs of rows (h, sides, tile, line) that meet first under `key`, as numbers of rows."""
+def bulk_pairs(key: int, rows: list[tuple], same_tile: bool, most: int, most_pairs: int = 1 << 20) -> Iterator[tuple[np.ndarray, ...]]:
+    """(probes, indexes, codes of lines, row of them for each probe, codes, row for each index): runs of pairs of rows (h, sides, tile, line) that meet first under `key`, as numbers of rows."""
     by: dict[int, list[int]] = {}
     for n, r in enumerate(rows):
         by.setdefault(len(r[3]), []).append(n)
@@ -325,9 +333,9 @@ def bulk_pairs(key: int, rows: list[tuple], same_tile: bool, most: int, most_pai
                 if size == length:
                     ours &= place[p][:, None] > place[q][None, :]
                 i, j = np.nonzero(ours)
-                for k in range(0, len(i), 20_000):
-                    u, v = i[k : k + 20_000], j[k : k + 20_000]
-                    yield p[u], q[v], codes[size][prb[u]], codes[length][idx[v]]
+                for k in range(0, len(i), BULK_PAIRS):
+                    u, v = i[k : k + BULK_PAIRS], j[k : k + BULK_PAIRS]
+                    yield p[u], q[v], codes[size], prb[u], codes[length], idx[v]
 
 
 def edit_links(docs: DataFrame, most: int, least: int, counts: bool = True, hot: int = HOT, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
@@ -355,13 +363,13 @@ def edit_links(docs: DataFrame, most: int, least: int, counts: bool = True, hot:
                 edges.append((x, y))
 
         if len(rows) > BULK:
-            for p, q, x, y in bulk_pairs(key, rows, a == b, most):
+            for p, q, x, i, y, j in bulk_pairs(key, rows, a == b, most):
                 if not counts:
                     number: dict[bytes, int] = {}
                     root = np.array([number.setdefault(forest.find(r[0]), len(number)) for r in rows])
                     apart = root[p] != root[q]
-                    p, q, x, y = p[apart], q[apart], x[apart], y[apart]
-                near = within_many(x, y, most) if len(p) else np.zeros(0, bool)
+                    p, q, i, j = p[apart], q[apart], i[apart], j[apart]
+                near = within_pairs(x, i, y, j, most)
                 for i, j in zip(p[near].tolist(), q[near].tolist(), strict=True):
                     link(rows[i][0], rows[j][0])
         else:

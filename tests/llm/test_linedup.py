@@ -145,8 +145,10 @@ def test_groups_in_bulk_and_one_by_one_agree(spark, monkeypatch):
         key = linedup._signed(key)
         for same in (True, False):
             want = {(p[0], q[0]) for p in rows for q in rows if p[0] != q[0] and (p[2] == q[2]) == same and 0 <= len(p[3]) - len(q[3]) <= 2 and not (len(p[3]) == len(q[3]) and q[0] > p[0]) and linedup._first_key(q[3], p[3], 2) == key}
-            got = [(rows[i][0], rows[j][0]) for p, q, _, _ in linedup.bulk_pairs(key, rows, same, 2, 500) for i, j in zip(p, q, strict=True)]
+            got = [(rows[i][0], rows[j][0]) for p, q, *_ in linedup.bulk_pairs(key, rows, same, 2, 500) for i, j in zip(p, q, strict=True)]
             assert sorted(got) == sorted(want)
+            for _, _, x, i, y, j in linedup.bulk_pairs(key, rows, same, 2, 500):
+                assert linedup.within_pairs(x, i, y, j, 2, 100).tolist() == linedup.within_many(x[i], y[j], 2).tolist()
 
 
 def test_lines_of_rows_that_share_an_id_and_clashing_columns(spark):
