@@ -12,6 +12,7 @@ import hashlib
 import os
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from evidentia.llm.common import held, text_slices
 
 #: Chunks kept in a worker's cache, and the longest chunk that is kept. Bounds memory only; ids don't depend on them.
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 200_000
 CACHE_CHARS = 48
 #: Chunks that are encoded as lines of one string.
 LINES = 24
@@ -102,8 +103,9 @@ class ChunkEncoder:
         first = list(heads)
         first_ids = dict(zip(first, self._ids(first), strict=True))
         new = self._chunk_ids(list(set(missing)))
-        if len(self.cache) < self.most:
-            self.cache.update({x: i for x, i in new.items() if len(x) <= CACHE_CHARS and "\n" not in x and not x[-1].isspace()})
+        room = self.most - len(self.cache)
+        if room > 0:
+            self.cache.update(islice(((x, i) for x, i in new.items() if len(x) <= CACHE_CHARS and "\n" not in x and not x[-1].isspace()), room))
         for _, rest, found, gaps in rows:
             for i in gaps:
                 found[i] = new[rest[i]]
