@@ -23,22 +23,27 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     u, v = F.col(src), F.col(dst)
     e = staged(edges.where(u.isNotNull() & v.isNotNull() & (u != v)).select(F.greatest(u, v).alias("hi"), F.least(u, v).alias("lo")).distinct(), "edges")
-    before, now = None, _state(e)
+    size, open_ = _state(e)
     for _ in range(max_rounds):
-        if now == before or not now[0]:
+        if not open_:
             break
-        large = _large_star(e, now[0], broadcast_edges)
-        after = staged(_small_star(large, now[0], broadcast_edges), "edges")
+        large = _large_star(e, size, broadcast_edges)
+        after = staged(_small_star(large, size, broadcast_edges), "edges")
         unstage(e)
-        e, before, now = after, now, _state(after)
+        e = after
+        size, open_ = _state(e)
     else:
         raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     # in a settled forest of stars every hi has one lo, the least of its component
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(e.select("lo", "lo").distinct())
 
 
-def _state(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.sum(F.hash("hi", "lo").cast("long")), F.max("lo")).first())
+def _state(e: DataFrame) -> tuple[int, int]:
+    """(edges, nodes that keep them from being stars around their least nodes: larger end of two edges, or larger end of one and smaller end of another)."""
+    ends = e.select(F.col("hi").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("lo", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    r = nodes.agg(F.sum("up").alias("size"), F.count_if(F.col("up") + F.col("down") > 1).alias("open")).first()
+    return r["size"] or 0, r["open"]
 
 
 def _with_least(rows: DataFrame, least: DataFrame, key: str, size: int, broadcast_edges: int) -> DataFrame:
@@ -61,7 +66,7 @@ def _small_star(e: DataFrame, size: int, broadcast_edges: int) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are tied to the least of them."""
     least = e.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("_n"))
     down = _with_least(e, least, "hi", size, broadcast_edges)
-    return _edges(_edges(down, F.col("lo"), F.col("m")).union(least.select("hi", F.col("m").alias("lo"))), F.col("hi"), F.col("lo"))
+    return _edges(down.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(least.select("hi", F.col("m").alias("lo"))), F.col("hi"), F.col("lo"))
 
 
 def _edges(df: DataFrame, a: Column, b: Column) -> DataFrame:

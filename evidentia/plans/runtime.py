@@ -5,12 +5,14 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -18,6 +20,11 @@ _shipped: set[str] = set()
 _staged: list[str] = []
 #: Bytes of rows that go to a Python worker at a time.
 BATCH_BYTES = 8 << 20
+#: Share of its greatest heap that the driver's JVM may have taken when a table was staged; beyond it, garbage is collected and heap given back.
+HEAP_SHARE = 0.5
+#: Seconds from one return of native memory to the next, at least.
+TRIM_SECONDS = 5
+_trimmed = [0.0]
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -57,11 +64,41 @@ def staged(df: DataFrame, name: str = "t") -> DataFrame:
     files, place = _place(spark, path)
     files.deleteOnExit(place)
     _staged.append(path)
+    give_back(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
 
 
+def give_back(spark: SparkSession) -> None:
+    """Let the driver's JVM return memory that it no longer uses: garbage if its heap has grown beyond HEAP_SHARE, and freed native memory every TRIM_SECONDS.
+
+    Each of many short jobs leaves plans, broadcast tables and compiled code there, and the JVM would rather take more than clear them.
+    """
+    jvm = spark.sparkContext._jvm
+    heap = jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() > HEAP_SHARE * heap.maxMemory():
+        jvm.java.lang.System.gc()
+    if time.monotonic() - _trimmed[-1] >= TRIM_SECONDS:
+        trim_native(spark)
+        _trimmed[:] = [time.monotonic()]
+
+
+def trim_native(spark: SparkSession) -> bool:
+    """Whether the driver's JVM has a command that returns freed native memory to the system (JDK 17.0.9 and later, Linux), which is then done."""
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    of = jvm.java.lang.Class.forName
+    kinds, args = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+    for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = of(kind)
+    args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        of("javax.management.MBeanServerConnection").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JJavaError:  # no such command
+        return False
+    return True
+
+
 def unstage(*tables: DataFrame) -> None:
     """Delete staged tables that no plan reads any more."""
     for t in tables:
