@@ -76,6 +76,62 @@ def pairs_by_buckets(obs: DataFrame, cfg: ErConfig) -> DataFrame:
     return named(by_place.unionByName(near).unionByName(wide))
 
 
+#: Seconds of a case's time that one task sums up in pair_totals().
+SPAN = 86_400
+
+
+def pair_totals(obs: DataFrame, cfg: ErConfig) -> DataFrame:
+    """(case_id, n_pairs, total_gap) of the pairs of pairs_by_join, for each case that has any: exact, and no pair is made.
+
+    A pair is blocked in by place, by time, or by time, role and modality; by inclusion and exclusion the totals are sums over six
+    sets of keys that both sides share, of pairs within (or beyond) a gap. Those follow from running counts and sums of times along a
+    key's time: a row meets what lies before it, less what lies before its band. Observations of equal keys and time are one row with
+    a count, and running sums start anew each SPAN, from the spans' own sums; so work grows with the rows, whatever the pairs.
+    Pairs of equal ord, which no self-join on ord_a < ord_b makes, are taken off in the same way.
+    """
+    w, g = cfg.temporal_window_sec, cfg.max_temporal_gap_sec
+    near, wide = ([w] if w >= 0 else []), g > w and g >= 0
+    # keys both sides share: (by place, role, modality), the sign of all pairs, the signs of those farther apart than each gap
+    sets: list[tuple[str, int, dict[int, int]]] = [("", len(near), {h: -1 for h in near}), ("p", 1 - len(near), {h: 1 for h in near})]
+    for keys, sign in (("r", 1), ("rm", -1), ("pr", -1), ("prm", 1)) if wide else ():
+        sets.append((keys, sign * (1 - len(near)), {h: sign for h in near} | {g: -sign}))
+    place, role, modality = folded(F.col("location")), folded(F.col("role")), F.lower("modality")
+    rows = obs.where("case_id is not null and ord is not null").select("case_id", "ord", place.alias("p"), role.alias("r"), modality.alias("m"), F.col("time_offset_sec").alias("t"))
+    rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy("case_id", "ord")))
+    rows = rows.withColumn("tie", F.explode(F.when(F.col("_n") > 1, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    rows = rows.withColumn("at", F.when(F.col("tie"), F.col("ord")).otherwise(F.lit(0)))
+    alike = rows.groupBy("case_id", "tie", "at", "p", "r", "m", "t").agg(F.count("*").alias("n"))
+
+    def keyed(i: int, keys: str) -> Column:
+        own = F.struct(F.lit(i).alias("k"), *((F.col(c) if c in keys else F.lit("")).alias(c) for c in "prm"))
+        return F.when(F.col("p") != "", own) if "p" in keys else own
+
+    by = ["case_id", "tie", "at", "k", "p", "r", "m"]
+    some = alike.select("case_id", "tie", "at", "t", "n", F.explode(F.array(*(keyed(i, keys) for i, (keys, _, _) in enumerate(sets)))).alias("_s")).where("_s is not null")
+    some = some.select("case_id", "tie", "at", "_s.*", "t", "n").groupBy(*by, "t").agg(F.sum("n").alias("n"))
+
+    def sign(of: list[int]) -> Column:
+        return F.element_at(F.array(*(F.lit(x).cast("long") for x in of)), F.col("k") + 1)
+
+    def meets(at: Column, after: int, n: Column, signs: list[int]) -> Column:
+        return F.struct(at.alias("pos"), F.lit(after).alias("after"), n.alias("add"), (sign(signs) * F.col("n")).alias("q"))
+
+    points = [meets(F.col("t"), 0, F.col("n"), [s for _, s, _ in sets])]
+    points += [meets(F.col("t") - h - 1, 1, F.lit(0).cast("long"), [far.get(h, 0) for _, _, far in sets]) for h in sorted({h for _, _, far in sets for h in far})]
+    points = some.select(*by, "t", F.explode(F.array(*points)).alias("_e")).select(*by, "t", "_e.*").where("after = 0 or q != 0").withColumn("span", F.floor(F.col("pos") / SPAN))
+    spans = points.groupBy(*by, "span").agg(F.sum("add").alias("n0"), F.sum(F.col("add") * F.col("t")).alias("s0"))
+    before = Window.partitionBy(*by).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select(*by, "span", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("n0", "s0")))
+    run = Window.partitionBy(*by, "span").orderBy("pos", "after").rowsBetween(Window.unboundedPreceding, 0)
+    met = points.join(spans, [*by, "span"]).withColumn("n", F.col("n0") + F.sum("add").over(run)).withColumn("s", F.col("s0") + F.sum(F.col("add") * F.col("t")).over(run))
+    # of its own n, a row meets half of n * (n - 1) at gap 0
+    n_pairs = F.col("q") * F.col("n") - F.when(F.col("after") == 0, F.shiftright(F.col("q") * (F.col("add") + 1), 1)).otherwise(F.lit(0))
+    gaps = F.col("q").cast("decimal(19,0)") * (F.col("t") * F.col("n") - F.col("s")).cast("decimal(19,0)")
+    off = F.when(F.col("tie"), -1).otherwise(1)
+    totals = met.groupBy("case_id").agg(F.sum(off * n_pairs).alias("n_pairs"), F.sum(off * gaps).cast("long").alias("total_gap"))
+    return totals.where("n_pairs > 0")
+
+
 def _normed(constraints: DataFrame) -> DataFrame:
     a, b = alias_norm(F.col("alias_a")), alias_norm(F.col("alias_b"))
     return constraints.select("case_id", F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).distinct()

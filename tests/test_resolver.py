@@ -226,3 +226,31 @@ def test_failures_are_reported_and_timings_told(spark):
 def test_scores_from_nested_and_wordy_answers():
     assert scorers.parse_scores('Sure {not json} ```json\n{"0": 0.5, "note": {"a": 1}, "1": "2"}\n``` done {}') == {0: 0.5, 1: 1.0}
     assert scorers.parse_scores("{") == {} and scorers.parse_scores("") == {} and scorers.parse_scores('{"0": null, "x": 1, "2": [1]}') == {}
+
+
+def counted(pairs):
+    p = pairs.groupBy("case_id").agg(F.count("*").alias("n"), F.sum(blocking.gap()).alias("gap"))
+    return {r.case_id: (r.n, r.gap) for r in p.collect()}
+
+
+OBS = "case_id string, ord long, obs_id string, entity_norm string, role string, modality string, location string, time_offset_sec long"
+
+
+@pytest.mark.parametrize(("near", "wide"), [(300, 3600), (0, 60), (600, 600), (900, 300), (-1, 200), (-1, -1), (100_000, 400_000)])
+def test_pair_totals_against_the_join(spark, near, wide):
+    """Blank and differently written places and roles, times of several days, places in the case that two share, a lone observation and a null case."""
+    rng = random.Random(near + wide)
+    rows = [(case, rng.randrange(60), f"O{i}", "x", rng.choice(["suspect", " Suspect", "witness"]), rng.choice(["video", "Video", "audio", "text"]), rng.choice(["", " ", "Room", "room ", "hall"]), rng.choice([0, 0, rng.randrange(900), rng.randrange(300_000)])) for case in ("A", "B", None) for i in range(80)]
+    obs = spark.createDataFrame([*rows, ("C", 1, "O", "x", "r", "video", "Room", 5)], OBS)
+    cfg = ErConfig(temporal_window_sec=near, max_temporal_gap_sec=wide)
+    want = counted(blocking.pairs_by_join(obs, cfg))
+    assert set(want) == {"A", "B"}
+    assert {r.case_id: (r.n_pairs, r.total_gap) for r in blocking.pair_totals(obs, cfg).collect()} == want
+    assert blocking.pair_totals(obs.limit(0), cfg).count() == 0
+
+
+def test_large_case_is_counted_without_its_pairs(spark):
+    """300,000 observations of a case at one place: 45 billion pairs."""
+    n = 300_000
+    obs = spark.range(n).selectExpr("'A' case_id", "id ord", "cast(id as string) obs_id", "'x' entity_norm", "'suspect' role", "'video' modality", "'Room' location", "id time_offset_sec")
+    assert [tuple(r) for r in blocking.pair_totals(obs, ErConfig()).collect()] == [("A", n * (n - 1) // 2, (n - 1) * n * (n + 1) // 6)]
